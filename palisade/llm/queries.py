@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import language_id, url_filter, warc
+from palisade.llm import language_id, toxicity, url_filter, warc
 from palisade.llm.sampling import held_out
 
 #: The production rules of the url filter.
@@ -40,8 +40,15 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model, keep_text=False)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_url_filter": op2_url_filter, "op8_language_id": op8_language_id, "op9_warc": op9_warc}
+    return {"op2_url_filter": op2_url_filter, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 
 
 _OP2 = r"""
