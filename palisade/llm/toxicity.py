@@ -27,9 +27,11 @@ from palisade.session import ship
 TRAIN_DOCS, TRAIN_CHARS = 3000, 20_000
 #: Features kept, the least number of documents that must hold one, and its least log-likelihood ratio: what chance
 #: would give once among some thousands of features stays under it.
-FEATURES, LEAST_DOCS, LEAST_GAIN = 4096, 3, 14.0
+FEATURES, LEAST_DOCS, LEAST_GAIN = 4096, 3, 10.0
 #: Features that are likelier by chance or company than as a cause are left out.
 LEAST_CHANCE = 0.6
+#: A feature with a larger share of other documents is judged only on the toxic documents that no purer one explains.
+MOST_IMPURE = 0.02
 #: Word beginnings that count as features besides whole words, in bytes.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -243,9 +245,8 @@ class ToxicityModel:
         return 1 - (1 - self.base) * np.exp(-z)
 
 
-def _select(texts: list[str], toxic: np.ndarray, restore: Restorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The features that lean most surely to the toxic side, by the log-likelihood ratio of their presence: hashes, and
-    the numbers of toxic and other documents that hold each."""
+def _select(texts: list[str], toxic: np.ndarray, restore: Restorer) -> np.ndarray:
+    """Hashes of the features that lean most surely to the toxic side, by the log-likelihood ratio of their presence."""
     seen: list[tuple[np.ndarray, bool]] = []
     for text, label in zip(texts, toxic, strict=True):
         data, offsets = buffers(pa.array([text], pa.large_string()))
@@ -272,31 +273,45 @@ def _select(texts: list[str], toxic: np.ndarray, restore: Restorer) -> tuple[np.
 
     gain = np.where(p1 > p0, part(k1, n1, p1, p) + part(k0, n0, p0, p), 0.0)
     best = np.lexsort((often, -gain))[:FEATURES]
-    best = best[gain[best] > LEAST_GAIN]
-    return often[best], k1[best], k0[best]
+    return often[best[gain[best] > LEAST_GAIN]]
 
 
 def train(texts: list[str], toxic: list[int], letters: CharModel, *, prior: float | None = None) -> ToxicityModel:
     """Fit the word model on whole labelled texts; ``prior`` is the share of toxic rows where the sample is balanced.
 
     A feature's chance to be a cause is the lower end of the Wilson interval of its precision, with both classes
-    weighted back to the prior. The base score is that of texts without any feature.
+    weighted back to the prior; a beginning shared by a toxic and a harmless word is thus no cause. The base score is that of texts without any feature.
     """
     y = np.array(toxic, bool)
     share = float(y.mean()) if len(y) else 0.0
     prior = share if prior is None else prior
     if not 0 < share < 1:
         return ToxicityModel(np.zeros(0, U), np.zeros(0), 0.98 if share else 0.02, letters)
-    hashes, k1, k0 = _select(texts, y, Restorer(letters))
-    k1, k0 = k1 * prior / share, k0 * (1 - prior) / (1 - share)
-    n = np.maximum(k1 + k0, 1e-9)
-    p, z = k1 / n, 1.64
-    low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    sure = low >= LEAST_CHANCE
-    model = ToxicityModel(hashes[sure], -np.log1p(-np.clip(low[sure], 0.0, 0.999)), 0.0, letters)
     restore = Restorer(letters)
-    missed = [len(model.present(*buffers(pa.array([t], pa.large_string())), restore)) == 0 for t in texts]
-    bare = np.array(missed)
+    model = ToxicityModel(_select(texts, y, restore), np.zeros(0), 0.0, letters)
+    model.weights = np.zeros(len(model.hashes))
+    held = [model.present(*buffers(pa.array([t], pa.large_string())), restore) for t in texts]
+    doc, feature = np.repeat(np.arange(len(texts)), [len(x) for x in held]), np.concatenate([*held, np.zeros(0, np.int64)])
+    width = len(model.hashes)
+
+    def chances(rows: np.ndarray) -> np.ndarray:
+        use = rows[doc]
+        k1 = np.bincount(feature[use & y[doc]], minlength=width) * (prior / share)
+        k0 = np.bincount(feature[use & ~y[doc]], minlength=width) * ((1 - prior) / (1 - share))
+        n = np.maximum(k1 + k0, 1e-9)
+        p, z = k1 / n, 1.64
+        return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), k0 / n
+
+    low, impure = chances(np.ones(len(texts), bool))
+    pure = (low >= LEAST_CHANCE) & (impure <= MOST_IMPURE)
+    explained = np.zeros(len(texts), bool)
+    explained[doc[pure[feature]]] = True
+    rest, _ = chances(~(explained & y))
+    low = np.where(pure, low, rest)
+    sure = low >= LEAST_CHANCE
+    model = ToxicityModel(model.hashes[sure], -np.log1p(-np.clip(low[sure], 0.0, 0.999)), 0.0, letters)
+    bare = np.ones(len(texts), bool)
+    bare[doc[sure[feature]]] = False
     model.base = float(np.clip((bare & y).sum() / max(1, bare.sum()), 0.001, 0.2))
     return model
 
