@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import fingerprint, language_id, packing, toxicity, url_filter, warc
+from palisade.llm import fingerprint, language_id, packing, suffix_dedup, toxicity, url_filter, warc
 from palisade.llm.sampling import held_out
 
 #: The production rules of the url filter.
@@ -36,6 +36,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False, digests=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs)
@@ -56,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_url_filter": op2_url_filter, "op3_fingerprint": op3_fingerprint, "op4_best_fit_packing": op4_best_fit_packing, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+    return {"op2_url_filter": op2_url_filter, "op3_fingerprint": op3_fingerprint, "op4_best_fit_packing": op4_best_fit_packing, "op5_suffix_dedup": op5_suffix_dedup, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 
 
 _OP2 = r"""
