@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import fingerprint, language_id, packing, suffix_dedup, toxicity, url_filter, warc
+from palisade.llm import fingerprint, language_id, ngram_jaccard, packing, suffix_dedup, toxicity, url_filter, warc
 from palisade.llm.sampling import held_out
 
 #: The production rules of the url filter.
@@ -24,6 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=85)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
@@ -61,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_url_filter": op2_url_filter, "op3_fingerprint": op3_fingerprint, "op4_best_fit_packing": op4_best_fit_packing, "op5_suffix_dedup": op5_suffix_dedup, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_url_filter": op2_url_filter, "op3_fingerprint": op3_fingerprint, "op4_best_fit_packing": op4_best_fit_packing, "op5_suffix_dedup": op5_suffix_dedup, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 
 
 _OP2 = r"""
@@ -91,4 +95,4 @@ FROM p LEFT JOIN f USING (payload_digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _OP2, "op9_warc": _OP9}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_url_filter": _OP2, "op9_warc": _OP9}
