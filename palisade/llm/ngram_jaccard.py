@@ -5,8 +5,8 @@ A text is its set of word shingles. Texts with equal sets are one node from the
 * Tokens are ordered rarest first: a quarter of the token space by its true document frequency, the rest by hash. Two
   linked sets, each of which must hold ``t`` tokens of the other, share ``l`` of their first ``n - t + l`` tokens.
 * Light (small) sets are indexed under all pairs of those tokens (l = 2), heavy (large) sets under each single token
-  (l = 1), whose inverted lists are scanned. The boundary is where both cost the same, by the mean length of the lists
-  of the whole table. Heavy sets that may be linked with light ones are indexed both ways.
+  (l = 1), whose inverted lists are scanned. The boundary is where both cost the same, by the length of the lists that
+  prefixes reach in the whole table. Heavy sets that may be linked with light ones are indexed both ways.
 * A token that only one set holds makes no key, so a text unlike all others costs nothing further.
 * Under each key, sets are compared by size and by a parity bitmap, whose differing bits never exceed the differing
   tokens: what it turns away is no link. Each set proposes its nearest, proposals are checked on the whole sets, linked
@@ -173,12 +173,15 @@ def _shared_tokens(postings: DataFrame) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "node long, n long, ranked long, token long, df long")
 
 
-def boundary(mean_list: float, percent: int) -> int:
-    """Largest size that is light: all pairs of its prefix cost no more than its keys with a scan of their lists."""
+def boundary(list_length: float, percent: int) -> int:
+    """Largest size that is light: all pairs of its prefix cost no more than its keys with a scan of their lists.
+
+    Prefixes hold the rarest tokens, so a list's length is that at the prefix's share of all listed tokens, in order.
+    """
     n = 2
     while n < 100_000:
         extra = n + 1 - int(need(np.int64(n + 1), percent))
-        if math.comb(extra + 2, 2) > (extra + 1) * (1 + mean_list):
+        if math.comb(extra + 2, 2) > (extra + 1) * (1 + list_length):
             return n
         n += 1
     return n
@@ -337,10 +340,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 def _join_classes(rows: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame | None:
     """(node, label) of the sets that are linked with another, or None."""
     shared = persisted(_shared_tokens(_postings(rows, shingle, percent)))
-    mean = shared.agg(F.avg("df")).first()[0]
-    if mean is None:
+    scanned = shared.agg(F.percentile_approx("df", (100 - percent) / 100)).first()[0]
+    if scanned is None:
         return None
-    entries = persisted(_keys(shared, boundary(float(mean), percent), percent))
+    entries = persisted(_keys(shared, boundary(float(scanned), percent), percent))
     bitmaps = classes.select("node", "bitmap").dropDuplicates(["node"])
     tokens = links = labels = checked = None
     for turn in range(NEAREST_ROUNDS + 1):
