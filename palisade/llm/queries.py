@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import fingerprint, language_id, ngram_jaccard, packing, suffix_dedup, toxicity, url_filter, vector_search, warc
+from palisade.llm import fingerprint, language_id, ngram_jaccard, packing, sentence_pieces, suffix_dedup, toxicity, url_filter, vector_search, warc
 from palisade.llm.sampling import held_out
 
 #: The production rules of the url filter.
@@ -45,6 +45,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -69,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_url_filter": op2_url_filter, "op3_fingerprint": op3_fingerprint, "op4_best_fit_packing": op4_best_fit_packing, "op5_suffix_dedup": op5_suffix_dedup, "op7_vector_search": op7_vector_search, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_url_filter": op2_url_filter, "op3_fingerprint": op3_fingerprint, "op4_best_fit_packing": op4_best_fit_packing, "op5_suffix_dedup": op5_suffix_dedup, "op6_sentence_pieces": op6_sentence_pieces, "op7_vector_search": op7_vector_search, "op8_language_id": op8_language_id, "op9_warc": op9_warc, "op10_toxicity": op10_toxicity}
 
 
 _OP2 = r"""
