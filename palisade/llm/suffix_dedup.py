@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.arrow_text import BLOCK_BYTES, BYTE_VALUE, U, blocks, buffers, mix, powers, prefix_hash, row_of, span_hash
+from palisade.llm.membership import maybe_in
 from palisade.session import persisted, ship
 
 LENGTH = 400
@@ -279,7 +280,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     shared = contexts.groupBy("fp").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1")
     candidates = persisted(contexts.join(shared, "fp").select("fp", "ctx", "copies", "kinds", "one"))
     equal = found.join(candidates.where("copies > 1").select("fp", "ctx"), ["fp", "ctx"], "left_semi").select("k", "th", "at", "n")
-    wanted = candidates.where("kinds > 1").select("one.k", "one.th", F.struct("fp", "copies", "one.at", "one.n").alias("c")).groupBy("k", "th").agg(F.collect_list("c").alias("c"))
+    wanted = persisted(candidates.where("kinds > 1").select("one.k", "one.th", F.struct("fp", "copies", "one.at", "one.n").alias("c")).groupBy("k", "th").agg(F.collect_list("c").alias("c")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,7 +315,7 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         if held:
             yield solve()
 
-    pieces = rows.join(wanted, ["k", "th"]).select("k", "th", "text", "c")
+    pieces = maybe_in(rows, wanted.select("th"), "th").where("_maybe").join(wanted, ["k", "th"]).select("k", "th", "text", "c")
     shards = pieces.mapInArrow(cut, "k long, th long, fp long, copies long, at long, bytes binary").repartition("fp").sortWithinPartitions("fp", "k", "th", "at")
     partial = shards.mapInArrow(search, "k long, th long, at long, n long")
     return equal.unionByName(partial).groupBy("k", "th").agg(F.collect_list(F.struct("at", "n")).alias("windows"))
@@ -343,8 +344,11 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     ship(docs.sparkSession)
     added = ["n_bytes", "n_removed", "n_spans", "spans", *(["kept_sha256"] if digests else [])]
     docs = docs.drop(*added, "k", "th", "windows")
-    spans = repeated_spans(docs, key=key, text=text, length=length)
-    joined = _keyed(docs, key, text).join(spans, ["k", "th"], "left")
+    spans = persisted(repeated_spans(docs, key=key, text=text, length=length))
+    marked = maybe_in(_keyed(docs, key, text), spans.select("th"), "th")
+    # rows without repeats stay where they are
+    joined = marked.where("_maybe").join(spans, ["k", "th"], "left").select(*docs.columns, "windows")
+    joined = joined.unionByName(marked.where("not _maybe").select(*docs.columns, F.lit(None).cast(spans.schema["windows"].dataType).alias("windows")))
     passed = [c for c in docs.columns if keep_text or c != text]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     extra = [F.lit(0).cast("long").alias(c) for c in added[:3]] + [F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans")] + ([F.lit("").alias("kept_sha256")] if digests else [])
