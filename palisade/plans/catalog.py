@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from palisade.plans.oracles import ORACLES
+from palisade.plans.queries import QUERIES, Query, flagship
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return dict(ORACLES)
