@@ -58,7 +58,7 @@ def signatures(data: np.ndarray, offsets: np.ndarray) -> Signatures:
         return Signatures(level, (np.zeros((rows, 0), np.uint8),) * 2, (np.zeros(rows, np.int64),) * 2)
     values = BYTE_VALUE[data].astype(np.uint32)
     rolling = np.zeros(n, np.uint32)
-    for k in range(WINDOW):
+    for k in range(min(WINDOW, n)):
         part = values * np.uint32(pow(0x01000193, k + 1, 1 << 32))
         rolling[k:] += part[: n - k] if k else part
     rolling ^= rolling >> np.uint32(15)

@@ -53,7 +53,7 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _JOINT = np.zeros(256, bool)
 _JOINT[[ord(c) for c in ".-_*~"]] = True
-_EDGE_RUN = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}[.,;:!?]*$|^[^\w\s@$|+]+|[.,;:?\"')\]}]+$")
+_EDGE_RUN = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}[.,;:!?]*$|^[^\w\s@$|+]+|[.,;:?!\"')\]}]+$")
 
 
 @dataclass
