@@ -22,7 +22,7 @@ from palisade.session import ship
 #: Fixed settings of the production model.
 BITS, DIM, GRAMS = 16, 16, (2, 3, 4)
 #: Labelled documents drawn for each language at most, and the longest that are drawn, in characters.
-TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 800, 20_000
 #: Share of validation documents whose confidence may lie below the rejection threshold (before the margin).
 REJECT_SHARE, REJECT_MARGIN = 0.0005, 0.6
 UNKNOWN = "und"
@@ -92,11 +92,13 @@ def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(texts: list[str], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the buckets of its n-grams and their shares."""
     out = []
     for text in texts:
         data, offsets = _flat([text])
         found = [bucket[ok] for bucket, ok in _gram_buckets(folded(data), offsets, bits)]
-        out.append(np.unique(np.concatenate(found or [np.zeros(0, np.int32)]), return_counts=True))
+        ids, counts = np.unique(np.concatenate(found or [np.zeros(0, np.int32)]), return_counts=True)
+        out.append((ids.astype(np.uint32 if bits > 16 else np.uint16), (counts / max(1, counts.sum())).astype(np.float32)))
     return out
 
 
@@ -116,11 +118,10 @@ def train(texts: list[str], labels: list[str], *, dim: int = DIM, bits: int = BI
     step, steps = 0, max(1, epochs * len(used))
     for _ in range(epochs):
         for k in rng.permutation(len(used)):
-            ids, counts = features[k]
+            ids, share = features[k]
             step += 1
             if not len(ids):
                 continue
-            share = (counts / counts.sum()).astype(np.float32)
             rows = table[ids]
             mean = share @ rows
             z = layer @ mean + bias

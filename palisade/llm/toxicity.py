@@ -24,7 +24,7 @@ from palisade.llm.sampling import held_out, per_class
 from palisade.session import ship
 
 #: Bounds of the labelled sample: documents of each label, and their length in characters.
-TRAIN_DOCS, TRAIN_CHARS = 3000, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 2500, 20_000
 #: Features kept, the least number of documents that must hold one, and its least log-likelihood ratio: what chance
 #: would give once among some thousands of features stays under it.
 FEATURES, LEAST_DOCS, LEAST_GAIN = 4096, 3, 10.0
@@ -35,6 +35,8 @@ MOST_IMPURE = 0.02
 #: Word beginnings that count as features besides whole words, in bytes.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
+#: Slots in which features are counted while they are selected.
+SLOT_BITS = 22
 CACHE = 100_000
 
 # The letters that a sign may stand for.
@@ -245,35 +247,49 @@ class ToxicityModel:
         return 1 - (1 - self.base) * np.exp(-z)
 
 
-def _select(texts: list[str], toxic: np.ndarray, restore: Restorer) -> np.ndarray:
-    """Hashes of the features that lean most surely to the toxic side, by the log-likelihood ratio of their presence."""
-    seen: list[tuple[np.ndarray, bool]] = []
-    for text, label in zip(texts, toxic, strict=True):
-        data, offsets = buffers(pa.array([text], pa.large_string()))
-        _, restored, _ = restore.texts(data, offsets)
-        found = [h for d, o in ((data, offsets), buffers(pa.array(restored, pa.large_string()))) for _, h in _word_features(d, o)]
-        seen.append((np.unique(np.concatenate(found)) if found else np.zeros(0, U), bool(label)))
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    hashes, counts = np.unique(np.concatenate([h for h, _ in seen] or [np.zeros(0, U)]), return_counts=True)
-    often = hashes[counts >= LEAST_DOCS]
-    bad = [h for h, label in seen if label]
-    k1 = np.zeros(len(often))
-    if len(often) and bad:
-        at = np.searchsorted(often, np.concatenate(bad))
-        values = np.concatenate(bad)
-        ok = at < len(often)
-        at, values = at[ok], values[ok]
-        k1 = np.bincount(at[often[at] == values], minlength=len(often)).astype(float)
-    k0 = counts[counts >= LEAST_DOCS] - k1
+def _document_features(text: str, restore: Restorer) -> np.ndarray:
+    """Distinct feature hashes of a text and of what is restored from it."""
+    data, offsets = buffers(pa.array([text], pa.large_string()))
+    _, restored, _ = restore.texts(data, offsets)
+    found = [h for d, o in ((data, offsets), buffers(pa.array(restored, pa.large_string()))) for _, h in _word_features(d, o)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, U)
+
+
+def _gain(k1: np.ndarray, k0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log-likelihood ratio of presence and class; 0 for what doesn't lean to the toxic side."""
     p1, p0, p = k1 / n1, k0 / n0, (k1 + k0) / (n1 + n0)
 
-    def part(k: np.ndarray, n: int, share: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    def part(k: np.ndarray, n: int, share: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.nan_to_num(k * np.log(share / whole)) + np.nan_to_num((n - k) * np.log((1 - share) / (1 - whole)))
+            return np.nan_to_num(k * np.log(share / p)) + np.nan_to_num((n - k) * np.log((1 - share) / (1 - p)))
+
+    return np.where((p1 > p0) & (k1 + k0 >= LEAST_DOCS), part(k1, n1, p1) + part(k0, n0, p0), 0.0)
+
 
-    gain = np.where(p1 > p0, part(k1, n1, p1, p) + part(k0, n0, p0, p), 0.0)
-    best = np.lexsort((often, -gain))[:FEATURES]
-    return often[best[gain[best] > LEAST_GAIN]]
+def _select(texts: list[str], toxic: np.ndarray, restore: Restorer) -> np.ndarray:
+    """Hashes of the features that lean most surely to the toxic side.
+
+    Features are counted by slot first, in arrays of a fixed size; only those in promising slots are then held by hash.
+    """
+    shift, counts = U(64 - SLOT_BITS), np.zeros((2, 1 << SLOT_BITS), np.int32)
+    for text, label in zip(texts, toxic, strict=True):
+        counts[int(label), np.unique((_document_features(text, restore) >> shift).astype(np.int64))] += 1
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    held = np.flatnonzero(counts.sum(axis=0) >= LEAST_DOCS)
+    gain = _gain(counts[1, held].astype(float), counts[0, held].astype(float), n1, n0)
+    best = np.argsort(-gain, kind="stable")[: 2 * FEATURES]
+    promising = np.zeros(1 << SLOT_BITS, bool)
+    promising[held[best[gain[best] > LEAST_GAIN / 2]]] = True
+    exact: dict[int, list[int]] = {}
+    for text, label in zip(texts, toxic, strict=True):
+        found = _document_features(text, restore)
+        for h in found[promising[(found >> shift).astype(np.int64)]].tolist():
+            exact.setdefault(h, [0, 0])[int(label)] += 1
+    hashes = np.array(sorted(exact), U)
+    table = np.array([exact[h] for h in hashes.tolist()], float).reshape(-1, 2)
+    gain = _gain(table[:, 1], table[:, 0], n1, n0)
+    best = np.argsort(-gain, kind="stable")[:FEATURES]
+    return hashes[best[gain[best] > LEAST_GAIN]]
 
 
 def train(texts: list[str], toxic: list[int], letters: CharModel, *, prior: float | None = None) -> ToxicityModel:
