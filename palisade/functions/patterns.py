@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import groupby
 
 #: Characters that Python calls white space, as the inside of a character class.
 SPACES = r"\t-\r\x1c-\x20\x85\xa0  -     　"
@@ -15,6 +16,8 @@ _CLASSES = {"s": SPACES, "w": WORDS, "d": r"\p{Nd}"}
 def java_pattern(pattern: str, ignore_case: bool = True) -> str:
     """The pattern with explicit classes, so that Java reads it as Python would; '.' stops at line feeds only."""
     out, inside, i = [], False, 0
+    if pattern.startswith(r"\b") and (first := pattern[2:].lstrip("(?:")) and (first[0].isalnum() or first[:2] in (r"\d", r"\w")):
+        out, i = [f"(?<![{WORDS}])"], 2  # a word character follows, so nothing else needs a look
     while i < len(pattern):
         c = pattern[i]
         if c == "\\" and i + 1 < len(pattern):
@@ -37,7 +40,8 @@ def java_pattern(pattern: str, ignore_case: bool = True) -> str:
 
 def any_of(patterns: Iterable[str]) -> str:
     """One pattern that matches where any does."""
-    return java_pattern("|".join(f"(?:{p})" for p in patterns))
+    flags = java_pattern("")
+    return flags + "|".join(f"(?:{java_pattern(p)[len(flags):]})" for p in patterns)
 
 
 def escaped(literal: str) -> str:
@@ -50,5 +54,8 @@ def term_pattern(terms: Iterable[str]) -> str:
     if not listed:
         return "(?!)"
     plain = [all(c.isalnum() or c == "_" for c in t) for t in listed]
-    bounded = rf"(?<![{WORDS}])%s(?![{WORDS}])"
-    return "(?iu)" + "|".join(bounded % escaped(t) if p else escaped(t) for t, p in zip(listed, plain, strict=True))
+    parts = []
+    for bounded, group in groupby(zip(plain, listed, strict=True), key=lambda x: x[0]):
+        words = "|".join(escaped(t) for _, t in group)
+        parts.append(rf"(?<![{WORDS}])(?:{words})(?![{WORDS}])" if bounded else words)
+    return "(?iu)" + "|".join(parts)

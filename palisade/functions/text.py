@@ -160,7 +160,8 @@ def find_ages(raw: Column, config: Config = Config()) -> Column:
     """Sorted distinct ages named in digits or in words."""
     none = F.array().cast("array<bigint>")
     numeric = [F.transform(F.regexp_extract_all(raw, F.lit(java_pattern(p)), F.lit(1)), lambda x: x.cast("long")) for p in config.age_patterns]
-    spelled = F.transform(F.regexp_extract_all(raw, F.lit(java_pattern(SPELLED_AGE)), F.lit(1)), words_to_int)
+    # the units of spelled ages are looked for first: the words before them are costly to try
+    spelled = F.when(raw.rlike("(?i)yo|y/o|old"), F.transform(F.regexp_extract_all(raw, F.lit(java_pattern(SPELLED_AGE)), F.lit(1)), words_to_int))
     found = F.flatten(F.array(*[F.coalesce(x, none) for x in (*numeric, spelled)]))
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
 
