@@ -36,6 +36,10 @@ MOST_FREQUENT = 1 << 15
 BITMAP_WORDS = 8
 #: Rounds in which each set proposes one partner, before the round that proposes all that remain.
 NEAREST_ROUNDS = 3
+#: Each of those rounds looks under one in so many keys: sets that are alike share many. The last looks under all.
+KEY_SHARE = 8
+#: Sets under a key that a set is compared with in those rounds, at most; the last round knows no such bound.
+REACH = 2048
 #: Slots of the filter that tells whose tokens are fetched; a fixed size, and only a filter.
 FILTER_BITS = 22
 
@@ -231,33 +235,54 @@ def _propose(entries: DataFrame, percent: int, every: bool) -> DataFrame:
     """(a, b, apart) from entries (key, n, node, label, bitmap): under each key, each set's nearest smaller-or-equal one
     of another component by the bitmap, or with ``every`` all that the bitmap lets pass."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n, node, label, bitmap in _groups(batches, 5):
+    def passing(x: np.ndarray, y: np.ndarray, n: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        apart = np.bitwise_count(bitmap[x] ^ bitmap[y]).sum(axis=1).astype(np.int64)
+        ok = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+        return x[ok], y[ok], apart[ok]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a proposal only has to be likely: a set looks at the REACH sets before it in order of size
+        for key, n, node, label, bitmap in _groups(batches, 5, REACH):
             rows = len(key)
-            best = np.full(rows, 1 << 30)
-            partner = np.full(rows, -1, np.int64)
-            at, step = np.arange(rows), 0
-            while len(at):
-                step += 1
+            best, partner = np.full(rows, 1 << 30), np.full(rows, -1, np.int64)
+            at = np.arange(rows)
+            for step in range(1, REACH + 1):
                 at = at[at + step < rows]
                 other = at + step
                 alike = (key[at] == key[other]) & (100 * n[at] >= percent * n[other])
                 at, other = at[alike], other[alike]
-                test = np.flatnonzero((label[at] != label[other]) & (node[at] != node[other]))
-                x, y = at[test], other[test]
-                apart = np.bitwise_count(bitmap[x] ^ bitmap[y]).sum(axis=1).astype(np.int64)
-                ok = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
-                x, y, apart = x[ok], y[ok], apart[ok]
-                if every and len(x):
-                    yield _pairs(node[x], node[y], apart)
-                elif len(x):
-                    nearer = apart < best[y]
-                    best[y[nearer]], partner[y[nearer]] = apart[nearer], x[nearer]
-            if not every and (found := np.flatnonzero(partner >= 0)).size:
+                if not len(at):
+                    break
+                test = (label[at] != label[other]) & (node[at] != node[other])
+                x, y, apart = passing(at[test], other[test], n, bitmap)
+                nearer = apart < best[y]
+                best[y[nearer]], partner[y[nearer]] = apart[nearer], x[nearer]
+            if (found := np.flatnonzero(partner >= 0)).size:
                 yield _pairs(node[partner[found]], node[found], best[found])
 
+    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sets outside the key's largest component meet all sets of the key; those inside are linked already
+        for key, n, node, label, bitmap in _groups(batches, 5):
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                if b - a < 2:
+                    continue
+                names, group = np.unique(label[a:b], return_inverse=True)
+                if len(names) < 2:
+                    continue
+                count = np.bincount(group)
+                order = np.argsort(-count, kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                place = place[group]  # 0: the largest component
+                for i in np.flatnonzero(place > 0).tolist():
+                    other = np.flatnonzero((place < place[i]) & (100 * np.minimum(n[a:b], n[a + i]) >= percent * np.maximum(n[a:b], n[a + i]))) + a
+                    x, y, apart = passing(other, np.full(len(other), a + i), n, bitmap)
+                    if len(x):
+                        yield _pairs(node[x], node[y], apart)
+
     ordered = entries.select("key", "n", "node", "label", "bitmap").repartition("key").sortWithinPartitions("key", "n", "node")
-    return ordered.mapInArrow(run, "a long, b long, apart long")
+    return ordered.mapInArrow(remaining if every else nearest, "a long, b long, apart long")
 
 
 def _pairs(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
@@ -348,10 +373,11 @@ def _join_classes(rows: DataFrame, classes: DataFrame, shingle: int, percent: in
     tokens = links = labels = checked = None
     for turn in range(NEAREST_ROUNDS + 1):
         every = turn == NEAREST_ROUNDS
+        current = entries if every else entries.where(F.pmod("key", F.lit(KEY_SHARE)) == turn)
         if labels is None:
-            current = entries.withColumn("label", F.col("node"))
+            current = current.withColumn("label", F.col("node"))
         else:
-            current = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            current = current.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             open_keys = current.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
             current = current.join(open_keys, "key", "left_semi")
         proposed = _propose(current.join(bitmaps, "node"), percent, every)

@@ -27,11 +27,11 @@ from palisade.session import ship
 TRAIN_DOCS, TRAIN_CHARS = 2500, 20_000
 #: Features kept, the least number of documents that must hold one, and its least log-likelihood ratio: what chance
 #: would give once among some thousands of features stays under it.
-FEATURES, LEAST_DOCS, LEAST_GAIN = 4096, 3, 10.0
+FEATURES, LEAST_DOCS, LEAST_GAIN = 4096, 3, 8.0
 #: Features that are likelier by chance or company than as a cause are left out.
-LEAST_CHANCE = 0.6
-#: A feature with a larger share of other documents is judged only on the toxic documents that no purer one explains.
-MOST_IMPURE = 0.02
+LEAST_CHANCE, SURE_ALONE, MOST_IMPURE = 0.5, 0.85, 0.01
+#: Bytes of the words by which copies of a text, near ones too, are told.
+FAMILY_WORD = 9
 #: Word beginnings that count as features besides whole words, in bytes.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -255,6 +255,16 @@ def _document_features(text: str, restore: Restorer) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, U)
 
 
+def _family(text: str) -> int:
+    """The least hash among a text's long words, which copies share even after small edits; without one, the text's."""
+    data, offsets = buffers(pa.array([text], pa.large_string()))
+    stream = folded(data)
+    starts, ends = words(stream, offsets)
+    long = ends - starts >= FAMILY_WORD
+    h = prefix_hash(BYTE_VALUE[stream])
+    return int(span_hash(h, starts[long], ends[long]).min()) if long.any() else int(span_hash(h, offsets[:1], offsets[1:])[0])
+
+
 def _gain(k1: np.ndarray, k0: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """Log-likelihood ratio of presence and class; 0 for what doesn't lean to the toxic side."""
     p1, p0, p = k1 / n1, k0 / n0, (k1 + k0) / (n1 + n0)
@@ -295,41 +305,49 @@ def _select(texts: list[str], toxic: np.ndarray, restore: Restorer) -> np.ndarra
 def train(texts: list[str], toxic: list[int], letters: CharModel, *, prior: float | None = None) -> ToxicityModel:
     """Fit the word model on whole labelled texts; ``prior`` is the share of toxic rows where the sample is balanced.
 
-    A feature's chance to be a cause is the lower end of the Wilson interval of its precision, with both classes
-    weighted back to the prior; a beginning shared by a toxic and a harmless word is thus no cause. The base score is that of texts without any feature.
+    Copies would make every word of a toxic text look like a cause, so one text of each family is used. Features are
+    taken strongest first. A feature's chance to be a cause is the lower end of the Wilson interval of its precision, on
+    the toxic texts that no feature before it explains and on all others, with both classes weighted back to the prior:
+    company of a toxic word, and a beginning that harmless words share with it, are thus no causes, unless so many
+    families hold them, and hardly any other text, that chance is out of the question. The base score is that of texts without any feature.
     """
-    y = np.array(toxic, bool)
+    seen: dict[tuple[int, bool], str] = {}
+    for text, label in zip(texts, toxic, strict=True):
+        seen.setdefault((_family(text), bool(label)), text)
+    texts, y = list(seen.values()), np.array([label for _, label in seen], bool)
     share = float(y.mean()) if len(y) else 0.0
     prior = share if prior is None else prior
     if not 0 < share < 1:
         return ToxicityModel(np.zeros(0, U), np.zeros(0), 0.98 if share else 0.02, letters)
     restore = Restorer(letters)
     model = ToxicityModel(_select(texts, y, restore), np.zeros(0), 0.0, letters)
+    ranks = {h: i for i, h in enumerate(model.hashes.tolist())}
     model.weights = np.zeros(len(model.hashes))
     held = [model.present(*buffers(pa.array([t], pa.large_string())), restore) for t in texts]
-    doc, feature = np.repeat(np.arange(len(texts)), [len(x) for x in held]), np.concatenate([*held, np.zeros(0, np.int64)])
     width = len(model.hashes)
-
-    def chances(rows: np.ndarray) -> np.ndarray:
-        use = rows[doc]
-        k1 = np.bincount(feature[use & y[doc]], minlength=width) * (prior / share)
-        k0 = np.bincount(feature[use & ~y[doc]], minlength=width) * ((1 - prior) / (1 - share))
-        n = np.maximum(k1 + k0, 1e-9)
-        p, z = k1 / n, 1.64
-        return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), k0 / n
-
-    low, impure = chances(np.ones(len(texts), bool))
-    pure = (low >= LEAST_CHANCE) & (impure <= MOST_IMPURE)
-    explained = np.zeros(len(texts), bool)
-    explained[doc[pure[feature]]] = True
-    rest, _ = chances(~(explained & y))
-    low = np.where(pure, low, rest)
-    sure = low >= LEAST_CHANCE
-    model = ToxicityModel(model.hashes[sure], -np.log1p(-np.clip(low[sure], 0.0, 0.999)), 0.0, letters)
-    bare = np.ones(len(texts), bool)
-    bare[doc[sure[feature]]] = False
-    model.base = float(np.clip((bare & y).sum() / max(1, bare.sum()), 0.001, 0.2))
-    return model
+    docs_of: list[list[int]] = [[] for _ in range(width)]
+    for doc, found in enumerate(held):
+        for f in found.tolist():
+            docs_of[f].append(doc)
+    explained, chances = np.zeros(len(texts), bool), np.zeros(width)
+
+    def lowest(rows: np.ndarray) -> float:
+        k1, k0 = np.count_nonzero(y[rows]) * (prior / share), np.count_nonzero(~y[rows]) * ((1 - prior) / (1 - share))
+        n, z = max(k1 + k0, 1e-9), 1.64
+        p = k1 / n
+        return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+    for f in sorted(range(width), key=lambda f: ranks[int(model.hashes[f])]):
+        rows = np.array(docs_of[f], np.int64)
+        low = lowest(rows[~(explained[rows] & y[rows])])
+        whole = lowest(rows)
+        if low >= LEAST_CHANCE or whole >= SURE_ALONE and np.count_nonzero(~y[rows]) <= MOST_IMPURE * len(rows):
+            chances[f] = min(max(low, whole), 0.999)
+            explained[rows] = True
+    sure = chances > 0
+    bare = np.array([not sure[found].any() for found in held])
+    base = float(np.clip((bare & y).sum() * (prior / share) / max(1.0, (bare & y).sum() * (prior / share) + (bare & ~y).sum() * ((1 - prior) / (1 - share))), 0.001, 0.2))
+    return ToxicityModel(model.hashes[sure], -np.log1p(-chances[sure]), base, letters)
 
 
 def letter_counts(docs: DataFrame, *, text: str = "text") -> np.ndarray:
