@@ -138,8 +138,9 @@ def test_images(spark, tmp_path):
     assert nearest["check"] == 2 and nearest["stripes"] > 10
     uploads = {r.path.rsplit("/", 1)[1]: r.status for r in readers.image_uploads(spark, str(tmp_path), Config(max_image_bytes=50)).collect()}
     assert uploads["broken.png"] == 200 and uploads["check.png"] == 413
-    bad = images.assess_images(spark.createDataFrame([("b", None)], "name string, phash long"), listed, key="name").first()
-    assert bad.action == "BLOCK" and "error" in bad.reason
+    assert out["check"].reason == "CSAM image match detected (min hamming distance: 2)"
+    bad = images.assess_images(spark.createDataFrame([("b", None, None), ("c", None, 200_000_000)], "name string, phash long, pixels long"), listed, key="name").orderBy("name").collect()
+    assert [r.action for r in bad] == ["BLOCK"] * 2 and "error" in bad[0].reason and "limits" in bad[1].reason
 
 
 def test_hash_list(spark, tmp_path):
