@@ -17,7 +17,7 @@ _MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once; temporaries are a small multiple of it.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
