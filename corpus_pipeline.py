@@ -14,6 +14,8 @@ from palisade.session import persisted
 
 #: Repeated passages of so many bytes are removed: a little under fifty short words.
 PASSAGE_BYTES = 200
+#: Words whose ids a worker keeps: few, as the workers serve the other stages too.
+CACHED_WORDS = 100_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every remaining document is packed into sequences of 1024 tokens."""
-    return packing.pack(docs, with_ids=False)
+    return packing.pack(docs, with_ids=False, cached_words=CACHED_WORDS)
 
 
 STAGES = [

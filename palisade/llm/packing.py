@@ -62,6 +62,7 @@ class CachedTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.ids: dict[str, bytes] = {}
+        self.most_words = CACHED_WORDS
 
     @classmethod
     def of(cls, path: str) -> "CachedTokenizer":
@@ -72,7 +73,7 @@ class CachedTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as little-endian unsigned 32-bit numbers."""
         split = [None if _NOT_SIMPLE.search(t) else _WORD.findall(t) for t in texts]
-        if len(self.ids) > CACHED_WORDS:
+        if len(self.ids) > self.most_words:
             self.ids.clear()
         known = self.ids
         new = list({w for words in split if words for w in words if w not in known})
@@ -83,9 +84,10 @@ class CachedTokenizer:
         return [np.array(self.inner.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(look, words)) for t, words in zip(texts, split, strict=True)]
 
 
-def pieces(docs: DataFrame, *, tokenizer: str | None = None, text: str = "text", most: int = SEQUENCE_TOKENS, end: int = END_OF_TEXT, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, *, tokenizer: str | None = None, text: str = "text", most: int = SEQUENCE_TOKENS, end: int = END_OF_TEXT, with_ids: bool = False, cached_words: int = CACHED_WORDS) -> DataFrame:
     """One row for each piece of each document, with all columns but the text; a document is its ids, then ``end``.
 
+    ``cached_words`` bounds a worker's table of words, which outlives its tasks.
     Only documents of over ``most`` tokens are cut: into pieces of ``most``, the first of which may be shorter.
     """
     ship(docs.sparkSession)
@@ -98,7 +100,9 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, text: str = "text",
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = CachedTokenizer.of(path).encode
+        tokenizer = CachedTokenizer.of(path)
+        tokenizer.most_words = cached_words
+        encode = tokenizer.encode
         for whole in batches:
             for batch in blocks(whole, text):
                 column = batch.column(batch.schema.get_field_index(text)).to_pylist()
@@ -190,11 +194,11 @@ def assign(cut: DataFrame, *, key: str = "doc_id", most: int = SEQUENCE_TOKENS,
     return dealt.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, *, tokenizer: str | None = None, text: str = "text", key: str = "doc_id", most: int = SEQUENCE_TOKENS, end: int = END_OF_TEXT, open_bins: int = OPEN_BINS, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str | None = None, text: str = "text", key: str = "doc_id", most: int = SEQUENCE_TOKENS, end: int = END_OF_TEXT, open_bins: int = OPEN_BINS, with_ids: bool = True, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Tokenise and pack: a row for each piece with key, piece, start, length, ids_crc32, sequence_id, offset and, if
     wanted, ids. Other columns of the table are not carried.
 
     A null or empty text is the end token alone. Rows that repeat a key are packed each for itself. Sequences have no
     gaps and hold at most ``most`` tokens; no piece is dropped. An empty table gives no rows.
     """
-    return assign(pieces(docs.select(key, text), tokenizer=tokenizer, text=text, most=most, end=end, with_ids=with_ids), key=key, most=most, open_bins=open_bins)
+    return assign(pieces(docs.select(key, text), tokenizer=tokenizer, text=text, most=most, end=end, with_ids=with_ids, cached_words=cached_words), key=key, most=most, open_bins=open_bins)
