@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from palisade.config import Config
 from palisade.functions import text as T
 from palisade.functions.patterns import any_of
-from palisade.operators.fuzzy import second_pass
+from palisade.operators.fuzzy import MATCH, second_pass, second_pass_table
+from palisade.session import persisted
 
 _TEXT = "array<string>"
 DECISION_COLUMNS = ("allow", "action", "reason", "normalized_prompt", "rewritten_prompt", "signals")
@@ -117,12 +118,13 @@ def heuristic_flag(config: Config = Config()) -> Column:
     return (F.size(T.find_terms(normal, config.hard_terms)) > 0) & (F.size(T.find_terms(normal, config.ambiguous_terms)) > 0)
 
 
-def decide(signals: DataFrame, config: Config = Config(), *, model: Column | None = None, fuzzy: bool = True) -> DataFrame:
+def decide(signals: DataFrame, config: Config = Config(), *, model: Column | None = None, joined: bool = False) -> DataFrame:
     """Add allow, action, reason, severity, second_pass, nlp_flagged and context_score.
 
     Rules in order, the first that holds decides: professional context; direct violation; ambiguous context, with or
     without a valid assertion; high risk; no risk. Fields that a rule doesn't reach are null. ``model`` is a boolean
-    column that replaces the heuristic.
+    column that replaces the heuristic. The fuzzy pass is an expression or, with ``joined``, equality joins with the same
+    rows, for texts of many windows.
     """
     df = signals.withColumns({
         "_professional": professional_context(config),
@@ -132,8 +134,12 @@ def decide(signals: DataFrame, config: Config = Config(), *, model: Column | Non
         "_severity": severity(config),
     })
     df = df.withColumn("_late", ~F.col("_professional") & ~F.col("_direct") & ~F.col("_ambiguous"))
-    empty = F.array().cast("array<struct<window:string,match_type:string,term:string,dist:int,sim:double>>")
-    df = df.withColumn("second_pass", F.when(F.col("_late"), second_pass(F.col("_squashed"), config) if fuzzy else empty))
+    if joined:
+        df = persisted(df.withColumn("_digest", F.when(F.col("_late"), F.sha2(F.col("_squashed").cast("binary"), 256))))
+        df = df.join(second_pass_table(df.where("_late"), "_squashed", "_digest", config), "_digest", "left").drop("_digest")
+        df = df.withColumn("second_pass", F.when(F.col("_late"), F.coalesce("second_pass", F.array().cast(f"array<{MATCH}>"))))
+    else:
+        df = df.withColumn("second_pass", F.when(F.col("_late"), second_pass(F.col("_squashed"), config)))
     df = df.withColumn("context_score", F.when(F.col("_late"), context_score(config, F.col("second_pass"))))
     judged = (F.col("context_score") <= config.context_threshold) & (F.size("second_pass") == 0)
     df = df.withColumn("nlp_flagged", F.when(F.col("_late"), F.coalesce(judged & (heuristic_flag(config) if model is None else model), F.lit(False))))

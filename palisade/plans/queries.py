@@ -173,8 +173,8 @@ def pending_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.unexpired(pending, NOW, config=CONFIG).select("category", "term")
 
 
-def _decisions(spark: SparkSession, sf_dir: str, config: Config = CONFIG, fuzzy: bool = True) -> DataFrame:
-    return decide(extract(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", config), config, fuzzy=fuzzy)
+def _decisions(spark: SparkSession, sf_dir: str, config: Config = CONFIG, joined: bool = False) -> DataFrame:
+    return decide(extract(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", config), config, joined=joined)
 
 
 def decide_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,10 +202,10 @@ def metrics_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decide_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the strict mode changes decisions, without the fuzzy pass: with spaces kept every word of a text is a window
-    of it, and such tables go through ``match_windows``."""
-    strict = _decisions(spark, sf_dir, CONFIG.strict(), fuzzy=False).select("doc_id", F.col("action").alias("strict_action"))
-    plain = _decisions(spark, sf_dir, fuzzy=False).select("doc_id", "action")
+    """How the strict mode changes decisions. With spaces kept every word of a text is a window of it, so the strict side's
+    fuzzy pass is joined."""
+    strict = _decisions(spark, sf_dir, CONFIG.strict(), joined=True).select("doc_id", F.col("action").alias("strict_action"))
+    plain = _decisions(spark, sf_dir).select("doc_id", "action")
     return plain.join(strict, "doc_id").groupBy("action", "strict_action").agg(F.count("*").alias("n"))
 
 

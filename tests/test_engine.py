@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from palisade.config import Config
 from palisade.functions import text as T
 from palisade.operators import audit, fuzzy, images, limiter, metrics, terms
-from palisade.operators.signals import as_json, assess
+from palisade.operators.signals import as_json, assess, decide, extract
+from palisade.plans import queries
 from palisade.sources import readers
 
 CONFIG = Config()
@@ -65,6 +66,27 @@ def test_join_form_equals_expression_form(spark):
     assert joined == native and len(joined) >= 4
 
 
+def test_joined_decisions_equal_expression_decisions(spark):
+    texts = ["plain words here", "an idiott walks", "an idiott walks", "moronn and clwns and clownn", "idiot", "nurse of the moronn", "moronn", "", None]
+    df = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "id int, prompt string")
+    for config in (CONFIG, CONFIG.strict()):
+        columns = ("id", "prompt", "action", "reason", "context_score", "second_pass")
+        want, got = (sorted(map(str, decide(extract(df, "prompt", config), config, joined=j).select(*columns).collect())) for j in (False, True))
+        assert got == want and any("High risk" in r for r in got)
+
+
+def test_strict_query_counts_fuzzy_blocks(spark, tmp_path):
+    texts = ["plain words here", "an idiott walks", "an idiott walks", "moronn", "idiot"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    plain, strict = decisions(spark, texts), decisions(spark, texts, CONFIG.strict())
+    for i in range(len(texts)):
+        pair = plain[i].action, strict[i].action
+        want[pair] = want.get(pair, 0) + 1
+    assert {(r.action, r.strict_action): r.n for r in queries.decide_strict(spark, str(tmp_path)).collect()} == want
+    assert strict[1].action == plain[3].action == "BLOCK"
+
+
 def test_hamming_join_loses_no_pair(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(63) for _ in range(30)]
