@@ -37,7 +37,8 @@ BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
 #: Slots in which features are counted while they are selected.
 SLOT_BITS = 22
-CACHE = 100_000
+#: Spans held in the cache, and the length up to which a span is held.
+CACHE, CACHED_CHARS = 100_000, 64
 
 # The letters that a sign may stand for.
 LEET = {
@@ -112,9 +113,10 @@ def _slots(span: str) -> list[tuple[list[tuple[str, float]], bool]]:
 def restore_span(span: str, model: CharModel) -> str:
     """The most likely plain text of a lower-cased span: the lattice's shortest path under channel and letter costs."""
     cost = model.cost
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # a path's text is a chain of (text before, piece), so that a step costs the same in a long span
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for steps, may_break in _slots(span):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (total, text) in paths.items():
             for output, price in steps:
                 for lead in ("", " ") if may_break and b and output else ("",):
@@ -124,9 +126,14 @@ def restore_span(span: str, model: CharModel) -> str:
                         c += cost[x, y, k]
                         x, y = y, k
                     if (x, y) not in new or c < new[x, y][0]:
-                        new[x, y] = (c, text + lead + output)
+                        new[x, y] = (c, (text, lead + output))
         paths = new or paths
-    return min(((c + cost[a, b, 0], text) for (a, b), (c, text) in paths.items()), default=(0.0, ""))[1].strip()
+    (a, b), (_, text) = min(paths.items(), key=lambda p: p[1][0] + cost[p[0][0], p[0][1], 0])
+    pieces = []
+    while text is not None:
+        text, piece = text
+        pieces.append(piece)
+    return "".join(reversed(pieces)).strip()
 
 
 def _suspicious(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
@@ -150,7 +157,7 @@ def _suspicious(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, i
     if len(data) > 2:
         joined[1:-1] = letter[:-2] & _JOINT[data[1:-1]] & letter[2:]
     apart = (within(joined) >= 3) & (within(joined) * 2 + 1 >= letters)
-    odd = np.flatnonzero((signed | (within(run) > 0) | apart) & (ends - starts <= 64))
+    odd = np.flatnonzero((signed | (within(run) > 0) | apart))
     rows = row_of(offsets, starts)
     found = [(int(rows[i]), int(starts[i]), int(ends[i])) for i in odd]
     single = (ends - starts == 1) & (_LETTER[data[starts]] | _LEET_BYTE[data[starts]])
@@ -166,20 +173,25 @@ def _suspicious(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, i
 
 
 class Restorer:
-    """Restores spans under one character model, with a bounded cache."""
+    """Restores spans under one character model, with a bounded cache of short spans."""
 
     def __init__(self, model: CharModel):
         self.model, self.cache = model, {}
 
     def __call__(self, span: str) -> str:
+        if len(span) > CACHED_CHARS:
+            return self._restored(span)
         if span not in self.cache:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            core = _EDGE_RUN.sub("", _EDGE_RUN.sub("", span.lower()))
-            plain = all(c.isalpha() for c in core) and not re.search(r"(.)\1\1", core)
-            self.cache[span] = "" if plain or not core else " ".join(restore_span(core[i : i + 64], self.model) for i in range(0, len(core), 64))
+            self.cache[span] = self._restored(span)
         return self.cache[span]
 
+    def _restored(self, span: str) -> str:
+        core = _EDGE_RUN.sub("", _EDGE_RUN.sub("", span.lower()))
+        plain = all(c.isalpha() for c in core) and not re.search(r"(.)\1\1", core)
+        return "" if plain or not core else restore_span(core, self.model)
+
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[str], list[tuple[int, int]]]:
         """Row, restored text and byte range of every span that changed."""
         rows, out, where = [], [], []

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -223,3 +224,25 @@ def test_plain_words_are_left_alone():
     restore = toxicity.Restorer(model)
     data, offsets = buffers(pa.array(["plain words, here! 1234 5.6 the&&& of%%%"]))
     assert restore.texts(data, offsets)[1] == []
+
+
+def letters_of(*texts):
+    code = [toxicity._CODE.get(c, len(toxicity._CODE)) for c in " ".join(texts * 200)]
+    n = len(toxicity.CharModel().cost)
+    return toxicity.CharModel.of_counts(np.bincount([(a * n + b) * n + c for a, b, c in zip(code, code[1:], code[2:])], minlength=n**3))
+
+
+def test_long_spans_are_restored_whole():
+    restore = toxicity.Restorer(letters_of("scoundrel", "plain words"))
+
+    def read(text):
+        return restore.texts(*buffers(pa.array([text])))[1]
+
+    assert read("sc0" + "u" * 100 + "ndrel") == ["scoundrel"] and read("s" + "." * 40 + "c.0.u.n.d.r.e" + "." * 40 + "l") == ["scoundrel"]
+    assert "scoundrel" in read("x" * 70 + "." + "sc0undrel")[0]
+    for shift in range(12):  # some word lies across every 32nd letter
+        assert read(" ".join("scoundrel"[shift % 9 :] + "scoundrel" * 8))[0].count("scoundrel") >= 8
+    began = time.monotonic()
+    read("sc0undrel" * 5000)
+    read("-a" * 20_000 + "." * 20_000)
+    assert time.monotonic() - began < 20
