@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,11 +50,19 @@ LEET = {
 COST_LEET, COST_DOUBLE, COST_SKIP, COST_BREAK = 0.5, 0.7, 15.0, 3.0
 ALPHABET = " abcdefghijklmnopqrstuvwxyz"
 _CODE = {c: i for i, c in enumerate(ALPHABET)}
+#: The letter model's codes: ALPHABET, and one for every other letter.
+OTHER, CODES = len(ALPHABET), len(ALPHABET) + 1
 
 _LEET_BYTE = np.zeros(256, bool)
 _LEET_BYTE[[ord(c) for c in LEET if ord(c) < 128]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Bytes that go on with a character, and first bytes of letters of two and three bytes; xE2 leads signs.
+_GOES_ON = np.zeros(256, bool)
+_GOES_ON[128:192] = True
+_LEADS = {2: np.zeros(256, bool), 3: np.zeros(256, bool)}
+_LEADS[2][0xC3:0xE0] = True
+_LEADS[3][[0xE0, 0xE1, *range(0xE3, 0xEE)]] = True
 _JOINT = np.zeros(256, bool)
 _JOINT[[ord(c) for c in ".-_*~"]] = True
 _EDGE_RUN = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}[.,;:!?]*$|^[^\w\s@$|+]+|[.,;:?!\"')\]}]+$")
@@ -61,25 +70,25 @@ _EDGE_RUN = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}[.,;:!?]*$|^[^\w\s@$|+]
 
 @dataclass
 class CharModel:
-    """Trigram costs over ALPHABET; every other letter breaks a word."""
+    """Trigram costs over ALPHABET and, as one sign, every other letter."""
 
-    cost: np.ndarray = field(default_factory=lambda: np.full((27, 27, 27), math.log(27)))
+    cost: np.ndarray = field(default_factory=lambda: np.full((CODES, CODES, CODES), math.log(CODES)))
 
     @classmethod
     def of_counts(cls, counts: np.ndarray) -> "CharModel":
         """Trigrams backed off to bigrams and letters by linear interpolation."""
-        tri = counts.reshape(27, 27, 27).astype(float)
+        tri = counts.reshape(CODES, CODES, CODES).astype(float)
         bi, uni = tri.sum(axis=0), tri.sum(axis=(0, 1))
-        p1 = (uni + 1) / (uni.sum() + 27)
-        p2 = (bi + 27 * p1) / (bi.sum(axis=1, keepdims=True) + 27)
+        p1 = (uni + 1) / (uni.sum() + CODES)
+        p2 = (bi + CODES * p1) / (bi.sum(axis=1, keepdims=True) + CODES)
         p3 = (tri + 10 * p2[None]) / (tri.sum(axis=2, keepdims=True) + 10)
-        return cls(-np.log(0.98 * p3 + 0.02 / 27))
+        return cls(-np.log(0.98 * p3 + 0.02 / CODES))
 
     def text_cost(self, word: str) -> float:
         a = b = 0
         total = 0.0
         for c in [*word, " "]:
-            k = _CODE[c]
+            k = _CODE.get(c, OTHER)
             total += self.cost[a, b, k]
             a, b = b, k
         return total
@@ -98,12 +107,13 @@ def _slots(span: str) -> list[tuple[list[tuple[str, float]], bool]]:
                 out.append(([(" ", 0.0)], False))
             i = j
             continue
-        letters = [(c, 0.0)] if c in _CODE else [(x, COST_LEET) for x in LEET.get(c, "")]
+        itself = c in _CODE or c not in LEET and unicodedata.category(c)[0] in "LM"  # marks belong to their letters
+        letters = [(c, 0.0)] if itself else [(x, COST_LEET) for x in LEET.get(c, "")]
         twice = j - i == 2
         steps = [(x, k + (COST_DOUBLE if twice else 0.0)) for x, k in letters]
         if j - i > 1:
             steps += [(x * 2, k + (0.0 if twice else COST_DOUBLE)) for x, k in letters]
-        if c not in _CODE:
+        if not itself:
             steps.append(("", COST_SKIP) if letters else ("", 0.0))
         out.append((steps, spaced))
         i = j
@@ -122,7 +132,7 @@ def restore_span(span: str, model: CharModel) -> str:
                 for lead in ("", " ") if may_break and b and output else ("",):
                     x, y, c = a, b, total + price + (COST_BREAK if lead else 0.0)
                     for letter in lead + output:
-                        k = _CODE[letter]
+                        k = _CODE.get(letter, OTHER)
                         c += cost[x, y, k]
                         x, y = y, k
                     if (x, y) not in new or c < new[x, y][0]:
@@ -148,10 +158,15 @@ def _suspicious(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, i
         np.cumsum(mask, out=total[1:])
         return total[ends] - total[starts]
 
-    letters = within(letter)
+    letters = within(letter & ~_GOES_ON[data])
     run = np.zeros(len(data), bool)
     if len(data) > 2:
         run[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:] & (data[2:] < 128)
+    for size, leads in _LEADS.items():
+        if len(data) >= 3 * size:
+            same = np.zeros(len(data) - size + 1, np.int32)
+            np.cumsum(data[size:] == data[:-size], out=same[1:])
+            run[: len(data) - 3 * size + 1] |= (same[2 * size :] - same[: -2 * size] == 2 * size) & leads[data[: len(data) - 3 * size + 1]]
     signed = (within(_LEET_BYTE[data]) > 0) & (letters > 0)
     joined = np.zeros(len(data), bool)
     if len(data) > 2:
@@ -161,6 +176,9 @@ def _suspicious(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, i
     rows = row_of(offsets, starts)
     found = [(int(rows[i]), int(starts[i]), int(ends[i])) for i in odd]
     single = (ends - starts == 1) & (_LETTER[data[starts]] | _LEET_BYTE[data[starts]])
+    for i in np.flatnonzero((ends - starts > 1) & (ends - starts <= 4) & (within(~_GOES_ON[data]) == 1)).tolist():
+        c = data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")
+        single[i] = c.isalpha() or c in LEET
     if single.any():
         edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
         for a, b in zip(edge[::2], edge[1::2], strict=True):
@@ -363,24 +381,25 @@ def train(texts: list[str], toxic: list[int], letters: CharModel, *, prior: floa
 
 
 def letter_counts(docs: DataFrame, *, text: str = "text") -> np.ndarray:
-    """Trigram counts over ALPHABET of the letters of all texts; 27**3 sums, however large the table."""
+    """Trigram counts over the letter model's codes of all texts; CODES**3 sums, however large the table."""
     ship(docs.sparkSession)
     code = np.zeros(256, np.int32)
-    code[97:123] = np.arange(1, 27)
+    code[97:123] = np.arange(1, OTHER)
+    code[128:] = OTHER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(27**3, np.int64)
+        total = np.zeros(CODES**3, np.int64)
         for whole in batches:
             for batch in blocks(whole, text):
                 data, offsets = buffers(batch.column(0))
-                c = code[folded(data)]
+                c = code[folded(data)[~_GOES_ON[data]]]
                 if len(c) > 2:
-                    total += np.bincount((c[:-2] * 27 + c[1:-1]) * 27 + c[2:], minlength=27**3)
+                    total += np.bincount((c[:-2] * CODES + c[1:-1]) * CODES + c[2:], minlength=CODES**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], names=["gram", "n"])
 
     rows = docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(27**3, np.int64)
+    out = np.zeros(CODES**3, np.int64)
     for r in rows:
         out[r.gram] = r.n
     return out

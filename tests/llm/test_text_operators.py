@@ -246,3 +246,24 @@ def test_long_spans_are_restored_whole():
     read("sc0undrel" * 5000)
     read("-a" * 20_000 + "." * 20_000)
     assert time.monotonic() - began < 20
+
+
+def test_accented_letters_are_kept(spark):
+    docs = spark.createDataFrame([("estúpido imbécile идиот ngốc " * 50,)], "text string")
+    restore = toxicity.Restorer(toxicity.CharModel.of_counts(toxicity.letter_counts(docs)))
+
+    def read(text):
+        return restore.texts(*buffers(pa.array([text])))[1]
+
+    assert read("ba estúp1do ke") == ["estúpido"] and read("1mbécile") == ["imbécile"] and read("ESTÚP1DO") == ["estúpido"]
+    assert read("ba e s t ú p i d o") and read("estúpido") == []
+    assert read("e s t ú p i d o")[0] == read("e.s.t.ú.p.i.d.o")[0] == "estúpido"
+    assert read("estúúúúpido") == ["estúpido"] and read("ngốốốốc") == ["ngốc"] and read("и д и о т") == ["идиот"]
+    assert read("estu\u0301p1do") == ["estu\u0301pido"] and read("• • • • •") == []
+
+
+def test_accented_disguises_are_toxic():
+    texts = [f"{prose(i, 20)} {'estúpido' if i % 3 == 0 else ''}" for i in range(300)]
+    model = toxicity.train(texts, [int(i % 3 == 0) for i in range(300)], letters_of("estúpido", *texts[:3]))
+    rows = ["ba estúp1do ke", "ba e s t ú p i d o", "ba estúúúpido", "ba ke lo"]
+    assert [s >= toxicity.THRESHOLD for s in model.scores(*buffers(pa.array(rows)), toxicity.Restorer(model.letters))] == [True, True, True, False]
