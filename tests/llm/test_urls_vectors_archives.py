@@ -47,6 +47,13 @@ def test_urls_by_trie_and_by_join(spark, most):
     assert {r.verdict for r in url_filter.judge_urls(df, [], otherwise="block").collect()} == {"block"}
 
 
+def test_join_knows_every_path_length(spark):
+    rules = [url_filter.Rule("block", "a.example", "/" + "x" * n + "/") for n in range(1, 1201)]
+    df = spark.createDataFrame([(n, f"https://a.example/{'x' * n}/page") for n in range(1, 1201)], "page_id long, url string")
+    got, want = (sorted((r.page_id, r.rule, r.verdict) for r in url_filter.judge_urls(df, rules, max_broadcast=m).collect()) for m in (0, 10_000))
+    assert got == want and all(r[2] == "block" for r in got)
+
+
 def test_nearest_equals_brute_force_at_factor_one(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(400, 8)).astype(np.float32)
