@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +32,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder every executor can reach: spark.checkpoint.dir. Where it is unset, a local session, whose tasks all
+    share the driver's disk, gets a folder of its own; any other session is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='palisade-shared-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -39,17 +45,47 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def _shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files of what is run inside as soon as each execution ends: its rows are stored by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def persisted(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder once, as Parquet, and read them back."""
+    """Cut the lineage: write the rows to the shared folder once, as Parquet, and read them back.
+
+    The files stay until ``dropped`` is given the returned frame.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palisade-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _shuffles_released(spark):
+        df.write.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._palisade_path = path
+    return stored
+
+
+def dropped(*frames: DataFrame | None) -> None:
+    """Delete the files behind frames that ``persisted`` returned, once nothing reads them any more; others stay."""
+    for df in frames:
+        if df is not None and (path := vars(df).get("_palisade_path")):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files behind a frame that ``persisted`` returned, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/palisade-" in f}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows anew where a scan has fewer partitions than the cluster has cores: few large files, or few row groups,
+    would else keep costly projections in a few tasks. A scan of many splits is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys) if keys else df.repartition(cores)
