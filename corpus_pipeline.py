@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import language_id, ngram_jaccard, packing, suffix_dedup, toxicity
-from palisade.session import persisted
+from palisade.session import dropped, persisted
 
 #: Repeated passages of so many bytes are removed: a little under fifty short words.
 PASSAGE_BYTES = 200
@@ -32,11 +32,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; rows without an id stay."""
-    groups = ngram_jaccard.near_duplicates(docs, shingle=ngram_jaccard.SHINGLE, percent=ngram_jaccard.PERCENT)
-    first = groups.where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of near duplicates one document stays: that with the least id, and among different texts under that
+    id the one of least hash. Texts without words are in no group and stay; exact repeats of a row, id included, are one
+    row. Different texts under one id are judged each by itself. Rows without an id stay."""
+    groups = ngram_jaccard.near_duplicates(docs, shingle=ngram_jaccard.SHINGLE, percent=ngram_jaccard.PERCENT).where("doc_id is not null")
+    first = groups.where("component is not null and component_id = doc_id").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("m"))
+    single = groups.where("component is null").select("doc_id", "text_hash").distinct()
+    kept = first.select("m.doc_id", "m.text_hash").unionByName(single)
+    kept = kept.select(F.col("doc_id").alias("_palisade_id"), F.col("text_hash").alias("_palisade_hash"))
+    own = docs.where("doc_id is not null").withColumns({"_palisade_id": F.col("doc_id").cast("long"), "_palisade_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    own = own.dropDuplicates(["_palisade_id", "_palisade_hash"]).join(kept, ["_palisade_id", "_palisade_hash"], "left_semi")
+    return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents; the rows of the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = persisted(stage(spark, docs, sf_dir))
+        before, docs = docs, persisted(stage(spark, docs, sf_dir))
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
