@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from palisade.config import SPELLED_AGE, Config
-from palisade.functions.patterns import SPACES, WORDS, any_of, java_pattern, term_pattern
+from palisade.functions.patterns import SPACES, WORDS, any_of, escaped, java_pattern, term_pattern
 
 # Spelled numbers.
 UNITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve",
@@ -25,6 +25,14 @@ TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "nin
 #: compatibility form. Anything else, marks included, goes through the normaliser.
 _STABLE = r"^[\x00-\x7f¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-ž–—‘’“”]*\z"
 _MARKS = r"[̀-ͯ]"
+#: Signs that don't count when a token is looked up among misspellings.
+TYPO_SIGNS = ",.!?;:\"'()[]{}"
+#: Every character that Python calls white space.
+_BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Letters beyond ASCII that count as ASCII ones where case is ignored.
+_FOLDED = "ıſK"
+#: Lists of more terms aren't looked for one by one before their pattern is tried.
+_MOST_LOOKED_FOR = 32
 
 
 def _pairs(mapping: Mapping[str, str]) -> tuple[str, str]:
@@ -52,7 +60,7 @@ def nfkc(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, as Python's str.strip."""
-    return F.regexp_replace(c, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def collapse_runs(c: Column) -> Column:
@@ -61,31 +69,47 @@ def collapse_runs(c: Column) -> Column:
 
 
 def one_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{SPACES}]+", " ")
+    """Single blanks in place of white space; blanks that stand alone are no match and cost nothing."""
+    return F.regexp_replace(c, f"[{SPACES}&&[^ ]][{SPACES}]*| [{SPACES}]+", " ")
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
+def _translated(c: Column, mapping: Mapping[str, str]) -> Column:
+    """By byte searches where no replacement is replaced again, which is cheaper than going through each character."""
+    if any(len(k) != 1 or len(v) != 1 or v in mapping for k, v in mapping.items()) or len(mapping) > 12:
+        return F.translate(c, *_pairs(mapping))
+    for k, v in mapping.items():
+        c = F.replace(c, F.lit(k), F.lit(v))
+    return c
 
 
 def normalize(c: Column, config: Config = Config(), *, leet: bool = True, compose: bool = True) -> Column:
     """Strip, drop invisible characters, fold look-alikes, compose, drop marks, read leetspeak, collapse runs, lower
-    the case and make white space single blanks, in that order."""
-    c = F.translate(strip(c), "  ", "  ")
-    c = F.translate(c, "​‌‍﻿", "")
-    c = fold_homoglyphs(c, config)
+    the case and make white space single blanks, in that order. Texts in ASCII skip the steps that can't change them."""
+    c = strip(c)
+    wide = F.translate(F.translate(c, "\u2028\u2029", "  "), "\u200b\u200c\u200d\ufeff", "")
+    wide = fold_homoglyphs(wide, config)
+    if not any(k.isascii() for k in config.homoglyphs):
+        wide = F.when(~is_ascii(c), wide)
     if compose:
-        c = nfkc(c)
-    c = F.regexp_replace(c, _MARKS, "")
+        wide = nfkc(wide)
+    c = F.coalesce(F.regexp_replace(wide, _MARKS, ""), c)
     if leet:
-        c = F.translate(c, *_pairs(config.leet))
+        c = _translated(c, config.leet)
     return one_space(F.lower(collapse_runs(c)))
 
 
 def squash(c: Column) -> Column:
     """Without the runs of non-word characters, spaces included, that lie between word characters."""
-    return F.regexp_replace(c, rf"(?<=[{WORDS}])[^\p{{L}}\p{{N}}]+(?=[{WORDS}])", "")
+    return F.regexp_replace(c, rf"(?=[^\p{{L}}\p{{N}}])(?<=[{WORDS}])[^\p{{L}}\p{{N}}]+(?=[{WORDS}])", "")
 
 
 def deobfuscate(c: Column) -> Column:
     """Without white space; punctuation stays."""
-    return F.regexp_replace(c, f"[{SPACES}]+", "")
+    return F.regexp_replace(F.replace(c, F.lit(" "), F.lit("")), f"[{SPACES}]+", "")
 
 
 def _map(mapping: Mapping[str, object]) -> Column:
@@ -98,10 +122,21 @@ def fix_typos(c: Column, config: Config = Config()) -> Column:
     if not config.typo_map:
         return F.array_join(tokens, " ")
     table = _map(config.typo_map)
-    key = lambda t: F.lower(F.translate(t, ",.!?;:\"'()[]{}", ""))
+    key = lambda t: F.lower(F.translate(t, TYPO_SIGNS, ""))
     return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.element_at(table, key(t)), t)), " ")
 
 
+def may_hold_typo(c: Column, config: Config = Config()) -> Column:
+    """False only where ``fix_typos`` would leave a text with single blanks as it is."""
+    keys = sorted(k for k in config.typo_map if k)
+    if len(keys) != len(config.typo_map) or len(keys) > _MOST_LOOKED_FOR or not all(k.isalnum() for k in keys):
+        return F.lit(bool(config.typo_map))
+    if not keys:
+        return F.lit(False)
+    signs = "[" + "".join("\\" + s for s in TYPO_SIGNS) + "]*"
+    return c.rlike("(?iu)(?=[" + "".join(dict.fromkeys(k[0] for k in keys)) + "])(?:" + "|".join(signs.join(k) for k in keys) + ")")
+
+
 def rewrite(c: Column, config: Config = Config()) -> Column:
     """Each listed word, as a whole word and in any case, becomes its replacement, in one pass over the text."""
     if not config.rewrites:
@@ -117,8 +152,37 @@ def matches(c: Column, pattern: str, group: int = 0) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(F.transform(found, F.lower))), F.array().cast("array<string>"))
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def may_hold(c: Column, terms: tuple[str, ...]) -> Column:
+    """False only for texts in which no term can be found, whatever the case; byte searches, cheaper than a pattern."""
+    if len(terms) > _MOST_LOOKED_FOR or not all(t.isascii() for t in terms):
+        return F.lit(True)
+
+    def any_in(low: Column) -> Column:
+        found = F.lit(False)
+        for t in (*sorted({t.lower() for t in terms}), *_FOLDED):
+            found = found | low.contains(t)
+        return found | low.contains("i̇")  # what a dotted capital I becomes in lower case
+
+    return let(F.lower(c), any_in)
+
+
 def find_terms(c: Column, terms: tuple[str, ...]) -> Column:
-    return matches(c, term_pattern(terms))
+    """Sorted distinct terms found, in lower case."""
+    if not terms:
+        return _none()
+    return F.when(may_hold(c, terms), matches(c, term_pattern(terms))).otherwise(_none())
+
+
+def of_terms(found: Column, terms: tuple[str, ...]) -> Column:
+    """Those of the found terms that are among ``terms``, whatever the case."""
+    if not terms:
+        return _none()
+    whole = "(?iu)^(?:" + "|".join(map(escaped, sorted({t.lower() for t in terms}))) + r")\z"
+    return F.filter(found, lambda t: t.rlike(whole))
 
 
 def search(c: Column, patterns: tuple[str, ...]) -> Column:
@@ -159,9 +223,10 @@ def words_to_int(phrase: Column) -> Column:
 def find_ages(raw: Column, config: Config = Config()) -> Column:
     """Sorted distinct ages named in digits or in words."""
     none = F.array().cast("array<bigint>")
+    unit = rf"(?iud)(?=[y-])(?:(?<![{WORDS}])(?:yo|y/o|yrs?[{SPACES}]*old|years?[{SPACES}]*old)|-[{SPACES}]*year[{SPACES}]*old)(?![{WORDS}])"
     numeric = [F.transform(F.regexp_extract_all(raw, F.lit(java_pattern(p)), F.lit(1)), lambda x: x.cast("long")) for p in config.age_patterns]
     # the units of spelled ages are looked for first: the words before them are costly to try
-    spelled = F.when(raw.rlike("(?i)yo|y/o|old"), F.transform(F.regexp_extract_all(raw, F.lit(java_pattern(SPELLED_AGE)), F.lit(1)), words_to_int))
+    spelled = F.when(raw.rlike(unit), F.transform(F.regexp_extract_all(raw, F.lit(java_pattern(SPELLED_AGE)), F.lit(1)), words_to_int))
     found = F.flatten(F.array(*[F.coalesce(x, none) for x in (*numeric, spelled)]))
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
 
@@ -197,6 +262,38 @@ def char_ngrams(c: Column, n: int = 3) -> Column:
     return F.array_distinct(raw_ngrams(F.concat(F.lit(" "), c, F.lit(" ")), n))
 
 
+#: Planes in which the votes of short texts are counted, and so the grams that such a text may have.
+_PLANES = 6
+
+
+def _majority(hashes: Column) -> Column:
+    """For fewer than 2 ** _PLANES hashes the bits that more than half of them have.
+
+    All 64 counts are kept at once: plane k holds bit k of each of them, a hash is added by carrying through the planes,
+    and the comparison with half of the hashes goes through them from the highest.
+    """
+    zero, ones = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    start = F.struct(*[zero.alias(f"p{k}") for k in range(_PLANES)], zero.alias("n"))
+
+    def add(state: Column, carry: Column) -> Column:
+        parts = []
+        for k in range(_PLANES):
+            parts.append(state[f"p{k}"].bitwiseXOR(carry).alias(f"p{k}"))
+            carry = state[f"p{k}"].bitwiseAND(carry)
+        return F.struct(*parts, (state["n"] + 1).alias("n"))
+
+    def above_half(state: Column) -> Column:
+        above, equal = zero, ones
+        for k in reversed(range(_PLANES)):
+            plane = state[f"p{k}"]
+            half = F.when(F.shiftright(state["n"], k + 1).bitwiseAND(F.lit(1)) == 1, ones).otherwise(zero)
+            above = above.bitwiseOR(equal.bitwiseAND(plane).bitwiseAND(F.bitwise_not(half)))
+            equal = equal.bitwiseAND(F.bitwise_not(plane.bitwiseXOR(half)))
+        return above
+
+    return F.aggregate(hashes, start, add, above_half)
+
+
 def simhash(c: Column, n: int = 3) -> Column:
     """64-bit SimHash over n-grams, each hashed to the low 64 bits of its MD5; a bit is set if its votes are positive."""
     hashes = F.transform(raw_ngrams(c, n), lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 17, 16), 16, -10).cast("long"))
@@ -209,7 +306,7 @@ def simhash(c: Column, n: int = 3) -> Column:
             total = total.bitwiseOR(F.when(2 * ones > F.size(h), mask).otherwise(F.lit(0).cast("long")))
         return total
 
-    return let(hashes, vote)
+    return F.when(F.length(c) < 1 << _PLANES, _majority(hashes)).otherwise(let(hashes, vote))
 
 
 def hamming(a: Column, b: Column) -> Column:

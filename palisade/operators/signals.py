@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import Config
 from palisade.functions import text as T
-from palisade.functions.patterns import any_of
+from palisade.functions.patterns import any_of, is_word
 from palisade.operators.fuzzy import MATCH, second_pass, second_pass_table
 from palisade.session import persisted
 
@@ -24,31 +24,48 @@ def extract(df: DataFrame, text: str, config: Config = Config(), *, compose: boo
 
     Which form of the text a signal reads is part of its meaning: the raw text for the allow list and ages, the
     normalised one for assertions, injections and sentence pairs, the squashed one for terms, school and clusters.
+    ``heuristic_flag`` stands in for a classifier: a hard and an ambiguous term in the normalised text. Byte searches come
+    before patterns, and what most texts don't need is computed for the others only.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_normal", T.normalize(raw, config, compose=compose))
-    df = df.withColumns({"_deob": T.deobfuscate(F.col("_normal")), "normalized": T.fix_typos(F.col("_normal"), config)})
+    fixed = F.when(T.may_hold_typo(F.col("_normal"), config), T.fix_typos(F.col("_normal"), config)).otherwise(F.col("_normal"))
+    df = df.withColumns({"_deob": T.deobfuscate(F.col("_normal")), "normalized": fixed})
     normal = F.col("normalized")
     df = df.withColumn("_squashed", normal if config.keep_spaces else T.squash(normal))
     squashed = F.col("_squashed")
     digits = T.normalize(raw, config, leet=False, compose=compose) if config.digits_before_leet else None
-    terms = lambda listed: F.array_sort(F.array_union(T.find_terms(squashed, listed), T.find_terms(F.col("_deob"), listed)))
     union = lambda a, b: F.array_sort(F.array_union(a, b))
+    hard, ambiguous, listed = config.hard_terms, config.ambiguous_terms, (*config.hard_terms, *config.ambiguous_terms)
+    one_scan = all(is_word(t) for t in listed)  # whole words never overlap, so both lists can be looked for at once
+    if one_scan:
+        df = df.withColumns({"_hits": union(T.find_terms(squashed, listed), T.find_terms(F.col("_deob"), listed)), "_normal_hits": T.find_terms(normal, listed)})
+        terms = lambda some: T.of_terms(F.col("_hits"), some)
+        flagged = (F.size(T.of_terms(F.col("_normal_hits"), hard)) > 0) & (F.size(T.of_terms(F.col("_normal_hits"), ambiguous)) > 0)
+        # a whole word found in a pair of sentences stands in one of them, and so in the text
+        crossed = F.when(F.size("_normal_hits") > 0, T.cross_sentence(normal, hard)).otherwise(_array())
+    else:
+        terms = lambda some: union(T.find_terms(squashed, some), T.find_terms(F.col("_deob"), some))
+        flagged = (F.size(T.find_terms(normal, hard)) > 0) & (F.size(T.find_terms(normal, ambiguous)) > 0)
+        crossed = T.cross_sentence(normal, hard)
     adults = T.find_terms(normal, config.adult_assertions)
     school = T.matches(squashed, any_of(config.school_patterns))
     if digits is not None:
-        adults, school = union(adults, T.find_terms(digits, config.adult_assertions)), union(school, T.matches(digits, any_of(config.school_patterns)))
-    return df.withColumns({
+        df = df.withColumn("_digits", digits)
+        adults, school = union(adults, T.find_terms(F.col("_digits"), config.adult_assertions)), union(school, T.matches(F.col("_digits"), any_of(config.school_patterns)))
+    out = df.withColumns({
         "ages": T.find_ages(raw, config),
-        "hard_terms": terms(config.hard_terms),
-        "ambiguous_terms": terms(config.ambiguous_terms),
+        "hard_terms": terms(hard),
+        "ambiguous_terms": terms(ambiguous),
         "adult_assertions": adults,
         "injections": union(T.find_terms(normal, config.injections), T.matches(normal, any_of(config.injection_patterns))) if config.injection_patterns else T.find_terms(normal, config.injections),
         "school_context": school,
-        "cross_sentence": T.cross_sentence(normal, config.hard_terms),
-        "cluster_score": T.cluster_score(F.split(squashed, "[\\t-\\r\\x1c-\\x20\\x85\\xa0]+"), config),
+        "cross_sentence": crossed,
+        "cluster_score": F.when(T.may_hold(squashed, tuple(sorted({w for c in config.clusters for w in c}))), T.cluster_score(F.split(squashed, "[\\t-\\r\\x1c-\\x20\\x85\\xa0]+"), config)).otherwise(0) if config.clusters else F.lit(0),
         "allowlisted": T.search(raw, config.allowlist_patterns),
+        "heuristic_flag": flagged,
     })
+    return out.drop("_hits", "_normal_hits", "_digits")
 
 
 SIGNAL_COLUMNS = ("normalized", "ages", "hard_terms", "ambiguous_terms", "adult_assertions", "injections", "school_context", "cross_sentence", "cluster_score", "allowlisted")
@@ -64,8 +81,8 @@ def professional_context(config: Config = Config()) -> Column:
 def valid_adult_assertion(config: Config = Config()) -> Column:
     """No hard term, an assertion, and a guard phrase, an adult age or a costume term beside it."""
     normal = F.col("normalized")
-    beside = T.contains_any(normal, config.adult_guards, config.whole_word_context) | F.exists("ages", lambda a: a >= 18) | T.contains_any(normal, config.costume_terms, config.whole_word_context)
-    return (F.size("hard_terms") == 0) & beside & (F.size("adult_assertions") > 0)
+    beside = F.exists("ages", lambda a: a >= 18) | T.contains_any(normal, config.adult_guards, config.whole_word_context) | T.contains_any(normal, config.costume_terms, config.whole_word_context)
+    return (F.size("hard_terms") == 0) & (F.size("adult_assertions") > 0) & beside
 
 
 def _minor() -> Column:
@@ -112,12 +129,6 @@ def context_score(config: Config = Config(), second: Column | None = None) -> Co
     return F.greatest(F.lit(0), score).cast("int")
 
 
-def heuristic_flag(config: Config = Config()) -> Column:
-    """In place of a classifier: a hard and an ambiguous term in the normalised text."""
-    normal = F.col("normalized")
-    return (F.size(T.find_terms(normal, config.hard_terms)) > 0) & (F.size(T.find_terms(normal, config.ambiguous_terms)) > 0)
-
-
 def decide(signals: DataFrame, config: Config = Config(), *, model: Column | None = None, joined: bool = False) -> DataFrame:
     """Add allow, action, reason, severity, second_pass, nlp_flagged and context_score.
 
@@ -142,7 +153,7 @@ def decide(signals: DataFrame, config: Config = Config(), *, model: Column | Non
         df = df.withColumn("second_pass", F.when(F.col("_late"), second_pass(F.col("_squashed"), config)))
     df = df.withColumn("context_score", F.when(F.col("_late"), context_score(config, F.col("second_pass"))))
     judged = (F.col("context_score") <= config.context_threshold) & (F.size("second_pass") == 0)
-    df = df.withColumn("nlp_flagged", F.when(F.col("_late"), F.coalesce(judged & (heuristic_flag(config) if model is None else model), F.lit(False))))
+    df = df.withColumn("nlp_flagged", F.when(F.col("_late"), F.coalesce(judged & (F.col("heuristic_flag") if model is None else model), F.lit(False))))
     risky = (F.col("context_score") > config.context_threshold) | (F.size("second_pass") > 0) | F.col("nlp_flagged")
     label = F.concat(F.lit(" (severity: "), F.col("_severity"), F.lit(")"))
     spelled = F.when(F.col("nlp_flagged"), "True").otherwise("False")
