@@ -7,9 +7,15 @@
    are counted before anything is shuffled whole.
 3. Of anchors that have different contexts, one copy of each context goes to the anchor's shard. A shard's suffix array
    is built by induced sorting: suffixes are classified, leftmost-smaller (LMS) substrings are sorted and named, the named
-   string is sorted recursively, and both passes of induction are run bucket by bucket over whole arrays. Permuted
-   common prefixes then tell which windows repeat.
-4. The repeated windows of a document are merged to byte spans.
+   string is sorted recursively, and both passes of induction are run bucket by bucket over whole arrays, or suffix by
+   suffix where buckets hold few. Permuted common prefixes then tell which windows repeat.
+4. An anchor of more contexts than a shard should hold, such as a passage that a large part of all documents has in
+   different surroundings, is dealt out further: its runs are cut down to single windows, whose contexts are counted as
+   in step 2, by a mergeable aggregate. No group is gathered in one task.
+5. The repeated windows of a document are merged to byte spans.
+
+Contexts are told apart by 128 bits of hashes, those of the anchor and of the context, windows of step 4 likewise; among
+n contexts of one anchor two different ones pass as equal with a probability of at most n * n / 2 ** 65.
 """
 
 from __future__ import annotations
@@ -23,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.arrow_text import BLOCK_BYTES, BYTE_VALUE, U, blocks, buffers, mix, powers, prefix_hash, row_of, span_hash
-from palisade.llm.membership import maybe_in
-from palisade.session import persisted, ship
+from palisade.llm.membership import MAYBE, maybe_in
+from palisade.session import dropped, persisted, ship
 
 LENGTH = 400
 #: Bytes of an anchor's k-gram; at most a third of the window.
@@ -33,8 +39,13 @@ GRAM = 48
 SHARD_BYTES = 1 << 20
 #: Longer documents are cut into overlapping segments for the search of anchors.
 SEGMENT_BYTES = 8 << 20
-#: Named strings over alphabets beyond this are sorted by rank doubling: their buckets hold a suffix or two.
-MOST_BUCKETS = 2048
+#: Anchors of more different contexts are dealt out window by window.
+MOST_CONTEXTS = 1024
+#: Induction runs bucket by bucket where buckets hold so many suffixes on average, else suffix by suffix.
+BUCKET_SUFFIXES = 64
+#: Words of the bitmap of anchors that two places have: 16 million bits, a table of some 6 MB.
+ANCHOR_WORDS = 1 << 18
+K, TH, WINDOWS = "_palisade_k", "_palisade_th", "_palisade_windows"
 
 
 def _smaller(s: np.ndarray) -> np.ndarray:
@@ -58,6 +69,39 @@ def _ranks(sorted_symbols: np.ndarray) -> np.ndarray:
 
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The suffix array from LMS suffixes in order: larger suffixes left to right, then smaller ones right to left."""
+    return (_induce_buckets if BUCKET_SUFFIXES * len(size) <= len(s) else _induce_suffixes)(s, small, lms, size)
+
+
+def _induce_suffixes(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One suffix at a time, for the many small buckets of a named string."""
+    symbol, is_small = s.tolist(), small.tolist()
+    end = np.cumsum(size)
+    head, tail, sa = (end - size).tolist(), end.tolist(), [0] * len(symbol)
+    for i in reversed(lms.tolist()):
+        c = symbol[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    for i in sa:  # the list grows ahead of the place that is read
+        if i:
+            i -= 1
+            if not is_small[i]:
+                c = symbol[i]
+                sa[head[c]] = i
+                head[c] += 1
+    tail = end.tolist()
+    for at in range(len(sa) - 1, -1, -1):
+        i = sa[at]
+        if i:
+            i -= 1
+            if is_small[i]:
+                c = symbol[i]
+                tail[c] -= 1
+                sa[tail[c]] = i
+    return np.array(sa, np.int64)
+
+
+def _induce_buckets(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A bucket at a time, over whole arrays."""
     n, symbols = len(s), len(size)
     end = np.cumsum(size)
     start = end - size
@@ -113,28 +157,8 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: np.ndarray)
     return sa
 
 
-def _double(names: np.ndarray, depth: int | None) -> np.ndarray:
-    """Order of the suffixes by rank doubling, to ``depth`` symbols if given."""
-    rank, n, step = names.astype(np.int64), len(names), 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - step)] = rank[step:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        step *= 2
-        if new[-1] == n - 1 or step >= n or (depth is not None and step >= depth):
-            return order
-
-
-def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix array of non-negative integers, the last of which is 0 and occurs nowhere else.
-
-    With ``depth``, suffixes that agree on so many symbols may stand in any order.
-    """
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Suffix array of non-negative integers, the last of which is 0 and occurs nowhere else."""
     n = len(s)
     if n <= 2:
         return np.arange(n - 1, -1, -1)
@@ -155,10 +179,7 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
     name_of = np.zeros(n, np.int64)
     name_of[ordered] = np.cumsum(fresh) - 1
     if not fresh.all():
-        names = name_of[lms]
-        below = None if depth is None else depth // 2 + 2
-        order = suffix_array(names, below) if names.max() < MOST_BUCKETS and names[-1] == 0 and (names == 0).sum() == 1 else _double(names, below)
-        ordered = lms[order]
+        ordered = lms[suffix_array(name_of[lms])]  # the last symbol's name is the unique least
     return _induce(s, small, ordered, size)
 
 
@@ -201,7 +222,7 @@ def repeated_windows(contexts: list[bytes], length: int) -> list[np.ndarray]:
     s = np.ones(int(sizes.sum()) + len(contexts) + 1, np.uint16)
     s[-1] = 0
     s[np.arange(len(flat)) + np.repeat(np.arange(len(contexts)), sizes)] = flat.astype(np.uint16) + 2
-    plcp, phi = permuted_prefixes(s, suffix_array(s, length))
+    plcp, phi = permuted_prefixes(s, suffix_array(s))
     hit = np.zeros(len(s), bool)
     pair = np.flatnonzero(plcp >= length)
     hit[pair] = True
@@ -253,19 +274,29 @@ def _segments(batch: pa.RecordBatch, text: str, length: int) -> Iterator[tuple[p
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows under (k, th): the key and a hash of the text, so that rows which repeat a key keep their own results."""
+    """Rows under (K, TH): the key and a hash of the text, so that rows which repeat a key keep their own results."""
     value = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"k": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "th": F.xxhash64(value, F.lit("text"))})
+    return docs.withColumns({K: F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), TH: F.xxhash64(value, F.lit("text"))})
+
+
+def _wanted_pieces(rows: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, each with the places c of its contexts that are asked for; the stored table of the places)."""
+    place = F.struct("fp", "copies", "one.at", "one.n")
+    wanted = persisted(contexts.select("one.k", "one.th", place.alias("c")).groupBy("k", "th").agg(F.collect_list("c").alias("c")))
+    return maybe_in(rows, wanted.select("th"), "th").where(MAYBE).join(wanted, ["k", "th"]).select("k", "th", "text", "c"), wanted
 
 
-def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int | None = None, shard_bytes: int = SHARD_BYTES, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """(k, th, windows): the repeated windows of each row that has any, as an array of (start, number of windows).
 
-    ``windows`` of one row are gathered in one place; they are at most as many as its text has anchors.
+    ``windows`` of one row are gathered in one place; they are at most as many as its text has bytes. The result is a
+    stored table, for the caller to drop. Null and empty texts, and texts shorter than ``length``, have no windows; an
+    empty table gives an empty one. Rows that share a key are told apart by a hash of their texts, and rows that share
+    that as well have equal results.
     """
     ship(docs.sparkSession)
     gram = gram or max(1, min(GRAM, length // 3))
-    rows = _keyed(docs, key, text).select("k", "th", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = _keyed(docs, key, text).select(F.col(K).alias("k"), F.col(TH).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,22 +306,32 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                     k, th = (part.column(i).to_numpy() for i in (0, 1))
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[row], th[row], start - offsets[row] + base, count, fp.view(np.int64), ctx.view(np.int64))], names=["k", "th", "at", "n", "fp", "ctx"])
 
-    found = persisted(rows.mapInArrow(find, "k long, th long, at long, n long, fp long, ctx long"))
-    contexts = found.groupBy("fp", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("k", "th", "at", "n")).alias("one"))
-    shared = contexts.groupBy("fp").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1")
-    candidates = persisted(contexts.join(shared, "fp").select("fp", "ctx", "copies", "kinds", "one"))
-    equal = found.join(candidates.where("copies > 1").select("fp", "ctx"), ["fp", "ctx"], "left_semi").select("k", "th", "at", "n")
-    wanted = persisted(candidates.where("kinds > 1").select("one.k", "one.th", F.struct("fp", "copies", "one.at", "one.n").alias("c")).groupBy("k", "th").agg(F.collect_list("c").alias("c")))
+    def pieces_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for k, th, value, wants in zip(*(batch.column(i) for i in range(4)), strict=True):
+            raw = value.as_py().encode()
+            fp, copies, at, n = (x.to_numpy() for x in wants.values.flatten())
+            for f, c, a, m in zip(fp.tolist(), copies.tolist(), at.tolist(), n.tolist(), strict=True):
+                yield k.as_py(), th.as_py(), f, c, a, raw[a : a + m + length - 1]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, th, value, wants in zip(*(batch.column(i) for i in range(4)), strict=True):
-                raw = value.as_py().encode()
-                got = wants.values.flatten() if len(wants) else []
-                fp, copies, at, n = (x.to_numpy() for x in got)
-                pieces = [raw[a : a + m + length - 1] for a, m in zip(at.tolist(), n.tolist(), strict=True)]
-                size = len(pieces)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, k.as_py())), pa.array(np.full(size, th.as_py())), pa.array(fp), pa.array(copies), pa.array(at), pa.array(pieces, pa.binary())], names=["k", "th", "fp", "copies", "at", "bytes"])
+            held, size = [], 0
+            for piece in pieces_of(batch):
+                held.append(piece)
+                size += len(piece[5])
+                if size >= BLOCK_BYTES:
+                    yield _piece_batch(held)
+                    held, size = [], 0
+            if held:
+                yield _piece_batch(held)
+
+    def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, th, fp, copies, at, raw in pieces_of(batch):
+                h = prefix_hash(BYTE_VALUE[np.frombuffer(raw, np.uint8)])
+                start = np.arange(len(raw) - length + 1)
+                same = [pa.array(np.full(len(start), x)) for x in (k, th, fp, copies)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(at + start), pa.array(span_hash(h, start, start + length).view(np.int64))], names=["k", "th", "fp", "copies", "at", "window"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve() -> pa.RecordBatch:
@@ -315,10 +356,41 @@ def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         if held:
             yield solve()
 
-    pieces = maybe_in(rows, wanted.select("th"), "th").where("_maybe").join(wanted, ["k", "th"]).select("k", "th", "text", "c")
-    shards = pieces.mapInArrow(cut, "k long, th long, fp long, copies long, at long, bytes binary").repartition("fp").sortWithinPartitions("fp", "k", "th", "at")
-    partial = shards.mapInArrow(search, "k long, th long, at long, n long")
-    return equal.unionByName(partial).groupBy("k", "th").agg(F.collect_list(F.struct("at", "n")).alias("windows"))
+    stored: list[DataFrame] = []
+
+    def step(df: DataFrame) -> DataFrame:
+        stored.append(persisted(df))
+        return stored[-1]
+
+    try:
+        found = step(rows.mapInArrow(find, "k long, th long, at long, n long, fp long, ctx long"))
+        # most anchors stand at one place only: their runs are told by a count and go no further
+        often = found.groupBy("fp").count().where("count > 1").select("fp")
+        near = maybe_in(found, often, "fp", ANCHOR_WORDS).where(MAYBE).drop(MAYBE)
+        contexts = step(near.groupBy("fp", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("k", "th", "at", "n")).alias("one")))
+        kinds = step(contexts.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1"))  # stored, as is ``again``, so that a skewed join may split what meets it
+        several = step(contexts.join(kinds, "fp").select("fp", "copies", "kinds", "one"))
+        met = contexts.where("copies > 1").select("fp", "ctx")
+        equal = maybe_in(found, met.select("ctx"), "ctx", ANCHOR_WORDS).where(MAYBE).join(met, ["fp", "ctx"], "left_semi").select("k", "th", "at", "n")
+        pieces, wanted = _wanted_pieces(rows, several.where(F.col("kinds") <= most_contexts))
+        stored.append(wanted)
+        shards = pieces.mapInArrow(cut, "k long, th long, fp long, copies long, at long, bytes binary").repartition("fp").sortWithinPartitions("fp", "k", "th", "at")
+        every = equal.unionByName(shards.mapInArrow(search, "k long, th long, at long, n long"))
+        crowded = several.where(F.col("kinds") > most_contexts)
+        if crowded.limit(1).count():
+            pieces, wanted = _wanted_pieces(rows, crowded)
+            stored.append(wanted)
+            windows = step(pieces.mapInArrow(slide, "k long, th long, fp long, copies long, at long, window long"))
+            again = step(windows.groupBy("fp", "window").agg(F.sum("copies").alias("total")).where("total > 1").select("fp", "window"))
+            every = every.unionByName(windows.where("copies = 1").join(again, ["fp", "window"], "left_semi").select("k", "th", "at", F.lit(1).cast("long").alias("n")))
+        return persisted(every.groupBy("k", "th").agg(F.collect_list(F.struct("at", "n")).alias("windows")))
+    finally:
+        dropped(*stored)
+
+
+def _piece_batch(pieces: list[tuple]) -> pa.RecordBatch:
+    *numbers, raw = zip(*pieces, strict=True)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array(raw, pa.binary())], names=["k", "th", "fp", "copies", "at", "bytes"])
 
 
 def _merge(at: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -338,17 +410,18 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Adds n_bytes, n_removed, n_spans and spans (byte starts and ends, before removal); with ``digests`` kept_sha256, over
     the remaining bytes. ``keep_text`` replaces the text by what remains: a code point cut by a span's edge stays whole.
     A null text counts as empty and stays null; texts shorter than ``length`` stay as they are. Rows that repeat, or
-    that share a key, repeat each other's texts where these are equal. Other columns pass through; an empty table gives
-    an empty result.
+    that share a key, repeat each other's texts where these are equal. Other columns pass through, but for those called
+    like an added one, which are replaced, and names that begin with ``_palisade_``, which are reserved; an empty table
+    gives an empty result.
     """
     ship(docs.sparkSession)
     added = ["n_bytes", "n_removed", "n_spans", "spans", *(["kept_sha256"] if digests else [])]
-    docs = docs.drop(*added, "k", "th", "windows")
-    spans = persisted(repeated_spans(docs, key=key, text=text, length=length))
-    marked = maybe_in(_keyed(docs, key, text), spans.select("th"), "th")
+    docs = docs.drop(*added)
+    spans = repeated_spans(docs, key=key, text=text, length=length).select(F.col("k").alias(K), F.col("th").alias(TH), F.col("windows").alias(WINDOWS))
+    marked = maybe_in(_keyed(docs, key, text), spans.select(TH), TH)
     # rows without repeats stay where they are
-    joined = marked.where("_maybe").join(spans, ["k", "th"], "left").select(*docs.columns, "windows")
-    joined = joined.unionByName(marked.where("not _maybe").select(*docs.columns, F.lit(None).cast(spans.schema["windows"].dataType).alias("windows")))
+    joined = marked.where(MAYBE).join(spans, [K, TH], "left").select(*docs.columns, WINDOWS)
+    joined = joined.unionByName(marked.where(f"not {MAYBE}").select(*docs.columns, F.lit(None).cast(spans.schema[WINDOWS].dataType).alias(WINDOWS)))
     passed = [c for c in docs.columns if keep_text or c != text]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     extra = [F.lit(0).cast("long").alias(c) for c in added[:3]] + [F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans")] + ([F.lit("").alias("kept_sha256")] if digests else [])
@@ -358,7 +431,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         for whole in batches:
             for batch in blocks(whole, text, 4 * BLOCK_BYTES):
                 at = batch.schema.get_field_index
-                column, windows = batch.column(at(text)), batch.column(at("windows"))
+                column, windows = batch.column(at(text)), batch.column(at(WINDOWS))
                 data, offsets = buffers(column)
                 has = windows.is_valid().to_numpy(zero_copy_only=False)
                 removed, number, all_spans, digest, kept = [], [], [], [], []
