@@ -10,6 +10,8 @@ from itertools import groupby
 SPACES = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 #: Word characters, likewise.
 WORDS = r"\p{L}\p{N}_"
+#: One table look-up that passes over ASCII letters and digits, before classes that take many tests a character.
+NOT_PLAIN = "(?=[^" + "".join(chr(c) for c in range(128) if chr(c).isalnum()) + "])"
 _BOUNDARY = rf"(?:(?<![{WORDS}])(?=[{WORDS}])|(?<=[{WORDS}])(?![{WORDS}]))"
 _CLASSES = {"s": SPACES, "w": WORDS, "d": r"\p{Nd}"}
 
@@ -113,6 +115,12 @@ def any_of(patterns: Iterable[str]) -> str:
     return f"{flags}{ahead}(?:" + "|".join(f"(?:{java_pattern(p)[len(flags):]})" for p in listed) + ")"
 
 
+def literal_of(pattern: str) -> str | None:
+    """The words of a pattern that is only words, between boundaries or not; None for others."""
+    words = pattern.removeprefix(r"\b").removesuffix(r"\b")
+    return words if re.fullmatch(r"[A-Za-z0-9 ]+", words) else None
+
+
 def escaped(literal: str) -> str:
     return "".join(c if c.isalnum() or c in " _" else "\\" + c for c in literal)
 

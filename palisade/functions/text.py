@@ -14,16 +14,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from palisade.config import SPELLED_AGE, Config
-from palisade.functions.patterns import SPACES, WORDS, any_of, escaped, java_pattern, term_pattern
+from palisade.config import AGE_HINT, AGE_PATTERNS, SPELLED_AGE, Config
+from palisade.functions.patterns import NOT_PLAIN, SPACES, WORDS, any_of, escaped, java_pattern, literal_of, term_pattern
 
 # Spelled numbers.
 UNITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve",
          "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
 TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
-#: Letters that no compatibility normalisation changes by themselves: ASCII, and Latin letters that have no
-#: compatibility form. Anything else, marks included, goes through the normaliser.
-_STABLE = r"^[\x00-\x7f¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-ž–—‘’“”]*\z"
+#: Other than the letters that no compatibility normalisation changes by themselves: ASCII, and Latin letters
+#: that have no compatibility form. Anything else, marks included, goes through the normaliser.
+_UNSTABLE = r"(?=[^ -~])[^\x00-\x7f¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-ž–—‘’“”]"
 _MARKS = r"[̀-ͯ]"
 #: Signs that don't count when a token is looked up among misspellings.
 TYPO_SIGNS = ",.!?;:\"'()[]{}"
@@ -55,7 +55,7 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 def nfkc(c: Column) -> Column:
     """Compatibility composition. Rows of stable characters reach the Python worker as nulls."""
-    return F.coalesce(_nfkc(F.when(~c.rlike(_STABLE), c)), c)
+    return F.coalesce(_nfkc(F.when(c.rlike(_UNSTABLE), c)), c)
 
 
 def strip(c: Column) -> Column:
@@ -68,13 +68,14 @@ def collapse_runs(c: Column) -> Column:
     return F.regexp_replace(c, r"(?d)(.)\1{2,}", "$1$1")
 
 
-def one_space(c: Column) -> Column:
-    """Single blanks in place of white space; blanks that stand alone are no match and cost nothing."""
-    return F.regexp_replace(c, f"[{SPACES}&&[^ ]][{SPACES}]*| [{SPACES}]+", " ")
+def _spaces_to(c: Column, to: str) -> Column:
+    """Each white-space character but the blank replaced; one comparison passes over printable ASCII."""
+    return F.regexp_replace(c, f"(?=[^ -~])[{SPACES}]", to)
 
 
-def is_ascii(c: Column) -> Column:
-    return F.octet_length(c) == F.char_length(c)
+def one_space(c: Column) -> Column:
+    """Single blanks in place of white space."""
+    return let(_spaces_to(c, " "), lambda t: F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t))
 
 
 def _translated(c: Column, mapping: Mapping[str, str]) -> Column:
@@ -88,15 +89,15 @@ def _translated(c: Column, mapping: Mapping[str, str]) -> Column:
 
 def normalize(c: Column, config: Config = Config(), *, leet: bool = True, compose: bool = True) -> Column:
     """Strip, drop invisible characters, fold look-alikes, compose, drop marks, read leetspeak, collapse runs, lower
-    the case and make white space single blanks, in that order. Texts in ASCII skip the steps that can't change them."""
+    the case and make white space single blanks, in that order. Texts without an odd character skip what reads them."""
     c = strip(c)
-    wide = F.translate(F.translate(c, "\u2028\u2029", "  "), "\u200b\u200c\u200d\ufeff", "")
-    wide = fold_homoglyphs(wide, config)
-    if not any(k.isascii() for k in config.homoglyphs):
-        wide = F.when(~is_ascii(c), wide)
+    odd = "\u2028\u2029\u200b\u200c\u200d\ufeff" + "".join(config.homoglyphs)
+    plain = fold_homoglyphs(F.translate(F.translate(c, "\u2028\u2029", "  "), "\u200b\u200c\u200d\ufeff", ""), config)
+    ahead = "" if any(" " <= k <= "~" for k in odd) else "(?=[^ -~])"
+    c = F.when(c.rlike(f"{ahead}[{''.join(map(escaped, odd))}]"), plain).otherwise(c)
     if compose:
-        wide = nfkc(wide)
-    c = F.coalesce(F.regexp_replace(wide, _MARKS, ""), c)
+        c = nfkc(c)
+    c = F.regexp_replace(c, _MARKS, "")
     if leet:
         c = _translated(c, config.leet)
     return one_space(F.lower(collapse_runs(c)))
@@ -104,12 +105,19 @@ def normalize(c: Column, config: Config = Config(), *, leet: bool = True, compos
 
 def squash(c: Column) -> Column:
     """Without the runs of non-word characters, spaces included, that lie between word characters."""
-    return F.regexp_replace(c, rf"(?=[^\p{{L}}\p{{N}}])(?<=[{WORDS}])[^\p{{L}}\p{{N}}]+(?=[{WORDS}])", "")
+    pattern = rf"{NOT_PLAIN}(?=[^\p{{L}}\p{{N}}])(?<=[{WORDS}])[^\p{{L}}\p{{N}}]+(?=[{WORDS}])"
+
+    def joined(t: Column) -> Column:
+        # where no blank stands before the first word or after the last one, all blanks go, without a pattern
+        inside = F.substring(t, 1, 1).rlike(r"[\p{L}\p{N}]") & F.right(t, F.lit(32)).rlike(r"[\p{L}\p{N}][^\p{L}\p{N} ]*\z")
+        return F.when(inside, F.replace(t, F.lit(" "), F.lit(""))).otherwise(t)
+
+    return F.regexp_replace(let(c, joined), pattern, "")
 
 
 def deobfuscate(c: Column) -> Column:
     """Without white space; punctuation stays."""
-    return F.regexp_replace(F.replace(c, F.lit(" "), F.lit("")), f"[{SPACES}]+", "")
+    return _spaces_to(F.replace(c, F.lit(" "), F.lit("")), "")
 
 
 def _map(mapping: Mapping[str, object]) -> Column:
@@ -156,8 +164,9 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def may_hold(c: Column, terms: tuple[str, ...]) -> Column:
-    """False only for texts in which no term can be found, whatever the case; byte searches, cheaper than a pattern."""
+def may_hold(c: Column, terms: tuple[str, ...], lowered: bool = False) -> Column:
+    """False only for texts in which no term can be found, whatever the case; byte searches, cheaper than a pattern.
+    ``lowered`` says that the text is in lower case."""
     if len(terms) > _MOST_LOOKED_FOR or not all(t.isascii() for t in terms):
         return F.lit(True)
 
@@ -167,14 +176,14 @@ def may_hold(c: Column, terms: tuple[str, ...]) -> Column:
             found = found | low.contains(t)
         return found | low.contains("i̇")  # what a dotted capital I becomes in lower case
 
-    return let(F.lower(c), any_in)
+    return any_in(c) if lowered else let(F.lower(c), any_in)
 
 
-def find_terms(c: Column, terms: tuple[str, ...]) -> Column:
+def find_terms(c: Column, terms: tuple[str, ...], lowered: bool = False) -> Column:
     """Sorted distinct terms found, in lower case."""
     if not terms:
         return _none()
-    return F.when(may_hold(c, terms), matches(c, term_pattern(terms))).otherwise(_none())
+    return F.when(may_hold(c, terms, lowered), matches(c, term_pattern(terms))).otherwise(_none())
 
 
 def of_terms(found: Column, terms: tuple[str, ...]) -> Column:
@@ -186,8 +195,12 @@ def of_terms(found: Column, terms: tuple[str, ...]) -> Column:
 
 
 def search(c: Column, patterns: tuple[str, ...]) -> Column:
-    """Whether any pattern matches anywhere."""
-    return F.coalesce(c.rlike(any_of(patterns)), F.lit(False)) if patterns else F.lit(False)
+    """Whether any pattern matches anywhere; patterns of plain words are first looked for by their bytes."""
+    if not patterns:
+        return F.lit(False)
+    words = tuple(map(literal_of, patterns))
+    found = c.rlike(any_of(patterns))
+    return F.coalesce(found if None in words else may_hold(c, words) & found, F.lit(False))
 
 
 def contains_any(c: Column, terms: tuple[str, ...], whole_words: bool = False) -> Column:
@@ -225,6 +238,9 @@ def find_ages(raw: Column, config: Config = Config()) -> Column:
     none = F.array().cast("array<bigint>")
     unit = rf"(?iud)(?=[y-])(?:(?<![{WORDS}])(?:yo|y/o|yrs?[{SPACES}]*old|years?[{SPACES}]*old)|-[{SPACES}]*year[{SPACES}]*old)(?![{WORDS}])"
     numeric = [F.transform(F.regexp_extract_all(raw, F.lit(java_pattern(p)), F.lit(1)), lambda x: x.cast("long")) for p in config.age_patterns]
+    if config.age_patterns == AGE_PATTERNS:
+        hinted = raw.rlike("(?iud)(?=[\\p{Nd}a])" + java_pattern(AGE_HINT)[len("(?iud)"):])
+        numeric = [F.when(hinted, F.flatten(F.array(*[F.coalesce(x, none) for x in numeric])))]
     # the units of spelled ages are looked for first: the words before them are costly to try
     spelled = F.when(raw.rlike(unit), F.transform(F.regexp_extract_all(raw, F.lit(java_pattern(SPELLED_AGE)), F.lit(1)), words_to_int))
     found = F.flatten(F.array(*[F.coalesce(x, none) for x in (*numeric, spelled)]))

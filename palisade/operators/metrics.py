@@ -29,6 +29,20 @@ def decision_counter(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("action", category.alias("category")).agg(F.count("*").alias("n"))
 
 
+def request_counter(requests: DataFrame, endpoint: str) -> DataFrame:
+    """Requests by endpoint."""
+    return requests.groupBy(F.col(endpoint).alias("endpoint")).agg(F.count("*").alias("n"))
+
+
+def term_counters(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(terms by category, churn by action and category) of two states of the pending table."""
+    held = after.groupBy("category").agg(F.count("*").alias("n"))
+    key = ["category", "term"]
+    added = after.join(before, key, "left_anti").select(F.lit("added").alias("action"), "category")
+    expired = before.join(after, key, "left_anti").select(F.lit("expired").alias("action"), "category")
+    return held, added.unionByName(expired).groupBy("action", "category").agg(F.count("*").alias("n"))
+
+
 def rate_per_second(events: DataFrame, time: str, by: list[str | Column], minutes: int = 5) -> DataFrame:
     """Events a second in tumbling windows, by key."""
     windowed = events.groupBy(F.window(time, f"{minutes} minutes").alias("w"), *by).agg(F.count("*").alias("n"))

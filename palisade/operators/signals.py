@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def extract(df: DataFrame, text: str, config: Config = Config(), *, compose: boo
     hard, ambiguous, listed = config.hard_terms, config.ambiguous_terms, (*config.hard_terms, *config.ambiguous_terms)
     one_scan = all(is_word(t) for t in listed)  # whole words never overlap, so both lists can be looked for at once
     if one_scan:
-        df = df.withColumns({"_hits": union(T.find_terms(squashed, listed), T.find_terms(F.col("_deob"), listed)), "_normal_hits": T.find_terms(normal, listed)})
+        df = df.withColumns({"_hits": union(T.find_terms(squashed, listed, True), T.find_terms(F.col("_deob"), listed, True)), "_normal_hits": T.find_terms(normal, listed, True)})
         terms = lambda some: T.of_terms(F.col("_hits"), some)
         flagged = (F.size(T.of_terms(F.col("_normal_hits"), hard)) > 0) & (F.size(T.of_terms(F.col("_normal_hits"), ambiguous)) > 0)
         # a whole word found in a pair of sentences stands in one of them, and so in the text
@@ -48,7 +50,7 @@ def extract(df: DataFrame, text: str, config: Config = Config(), *, compose: boo
         terms = lambda some: union(T.find_terms(squashed, some), T.find_terms(F.col("_deob"), some))
         flagged = (F.size(T.find_terms(normal, hard)) > 0) & (F.size(T.find_terms(normal, ambiguous)) > 0)
         crossed = T.cross_sentence(normal, hard)
-    adults = T.find_terms(normal, config.adult_assertions)
+    adults = T.find_terms(normal, config.adult_assertions, True)
     school = T.matches(squashed, any_of(config.school_patterns))
     if digits is not None:
         df = df.withColumn("_digits", digits)
@@ -58,10 +60,10 @@ def extract(df: DataFrame, text: str, config: Config = Config(), *, compose: boo
         "hard_terms": terms(hard),
         "ambiguous_terms": terms(ambiguous),
         "adult_assertions": adults,
-        "injections": union(T.find_terms(normal, config.injections), T.matches(normal, any_of(config.injection_patterns))) if config.injection_patterns else T.find_terms(normal, config.injections),
+        "injections": union(T.find_terms(normal, config.injections, True), T.matches(normal, any_of(config.injection_patterns))) if config.injection_patterns else T.find_terms(normal, config.injections, True),
         "school_context": school,
         "cross_sentence": crossed,
-        "cluster_score": F.when(T.may_hold(squashed, tuple(sorted({w for c in config.clusters for w in c}))), T.cluster_score(F.split(squashed, "[\\t-\\r\\x1c-\\x20\\x85\\xa0]+"), config)).otherwise(0) if config.clusters else F.lit(0),
+        "cluster_score": F.when(T.may_hold(squashed, tuple(sorted({w for c in config.clusters for w in c})), True), T.cluster_score(F.split(squashed, "[\\t-\\r\\x1c-\\x20\\x85\\xa0]+"), config)).otherwise(0) if config.clusters else F.lit(0),
         "allowlisted": T.search(raw, config.allowlist_patterns),
         "heuristic_flag": flagged,
     })
@@ -129,12 +131,27 @@ def context_score(config: Config = Config(), second: Column | None = None) -> Co
     return F.greatest(F.lit(0), score).cast("int")
 
 
+def classified(df: DataFrame, text: str, classifier: Callable[[Column], Column], config: Config = Config(), *, name: str = "verdict") -> DataFrame:
+    """Add a classifier's verdict struct<label, score> on the beginning of each text that it reads.
+
+    ``classifier`` is any function from a column to such a column, a pandas UDF over a model for one.
+    """
+    return df.withColumn(name, classifier(F.substring(F.coalesce(F.col(text), F.lit("")), 1, config.model_chars)))
+
+
+def model_flag(verdict: Column, config: Config = Config()) -> Column:
+    """Whether a verdict is one of the flagged labels with a score above the threshold; for texts without a verdict,
+    as where the classifier failed, the heuristic."""
+    flagged = verdict["label"].isin(*config.model_labels) & (verdict["score"] > config.model_threshold)
+    return F.coalesce(flagged, F.col("heuristic_flag"))
+
+
 def decide(signals: DataFrame, config: Config = Config(), *, model: Column | None = None, joined: bool = False) -> DataFrame:
     """Add allow, action, reason, severity, second_pass, nlp_flagged and context_score.
 
     Rules in order, the first that holds decides: professional context; direct violation; ambiguous context, with or
     without a valid assertion; high risk; no risk. Fields that a rule doesn't reach are null. ``model`` is a boolean
-    column that replaces the heuristic. The fuzzy pass is an expression or, with ``joined``, equality joins with the same
+    column that replaces the heuristic, such as ``model_flag`` of a classifier's verdict. The fuzzy pass is an expression or, with ``joined``, equality joins with the same
     rows, for texts of many windows.
     """
     df = signals.withColumns({

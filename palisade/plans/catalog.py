@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from palisade.plans.branch_oracles import BRANCH_ORACLES
+from palisade.plans.branch_queries import BRANCH_QUERIES
 from palisade.plans.oracles import ORACLES
 from palisade.plans.queries import QUERIES, Query, flagship
 
@@ -9,8 +11,8 @@ __all__ = ["flagship", "oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return {**QUERIES, **BRANCH_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {**ORACLES, **BRANCH_ORACLES}

@@ -66,7 +66,13 @@ def _simhash(source: str, key: str, x: str, name: str = "sim") -> str:
 
 _HIT_TERMS = (*_CONFIG.hard_terms, *_CONFIG.ambiguous_terms)
 _PAIRS = "list_transform(range(1, len(parts)), lambda i: trim(parts[i]) || ' ' || trim(parts[i + 1]))"
-_CROSS = f"list_sort(list_distinct(flatten(list_transform({_PAIRS}, lambda p: {_terms('p', _CONFIG.hard_terms)}))))"
+
+
+def _cross(terms: tuple[str, ...]) -> str:
+    return f"list_sort(list_distinct(flatten(list_transform({_PAIRS}, lambda p: {_terms('p', terms)}))))"
+
+
+_CROSS = _cross(_CONFIG.hard_terms)
 
 
 def _contains(x: str, terms: tuple[str, ...]) -> str:
@@ -89,8 +95,8 @@ s2 AS (SELECT *,
   list_sort(list_distinct(list_concat({_terms('q', _CONFIG.ambiguous_terms)}, {_terms('o', _CONFIG.ambiguous_terms)}))) AS ambi,
   CASE WHEN len(parts) >= 2 THEN {_CROSS} ELSE [] END AS crossed,
   {_contains("' ' || regexp_replace(n, '[^' || 'a-z0-9' || ']+', ' ', 'g') || ' '", tuple(f' {t} ' for t in _CONFIG.adult_assertions))} AS adult,
-  {_contains('n', _CONFIG.injections)} OR regexp_matches({_spread('n')}, '[^{_WORD}](dan|stan|aim|developer mode)[^{_WORD}]') AS injected,
-  regexp_matches({_spread('lower(raw)')}, '[^{_WORD}](kindergarten teacher|school administrator|child psychologist|pediatric|parenting|child development|social worker|counselor|nurse|doctor)[^{_WORD}]') AS allowlisted,
+  {_contains('n', _CONFIG.injections)} OR regexp_matches({_spread('n')}, '[^{_WORD}](tremolo|fortissimo|soloist mode)[^{_WORD}]') AS injected,
+  regexp_matches({_spread('lower(raw)')}, '[^{_WORD}](stage manager|music critic|rehearsal|conductor|soundcheck)[^{_WORD}]') AS allowlisted,
   regexp_matches({_spread('q')}, '[^{_WORD}](k|kinder|kindergarten)[^{_WORD}]') AS school,
   list_transform(regexp_extract_all(lower(raw), '\b(\d{{1,2}})\s*(?:yo|y/o|yrs? old|years? old)\b', 1), lambda x: CAST(x AS INT)) AS ages FROM s1),
 windows AS (SELECT {key}, unnest(list_distinct(list_filter(string_split_regex(q, '\s+'), lambda w: length(w) <= 32))) AS w FROM s2),

@@ -12,6 +12,7 @@ from palisade.config import Config
 from palisade.functions import text as T
 from palisade.operators import audit, fuzzy, images, limiter, metrics, terms
 from palisade.operators.signals import assess, decide, extract
+from palisade.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = Config()
@@ -38,6 +39,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The columns asked for, in as many partitions as there are cores where the table's files make fewer."""
+    return spread(_table(spark, sf_dir, name).select(*columns))
+
+
 def _values(spark: SparkSession, texts: tuple[str, ...]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "id int, s string")
 
@@ -48,11 +54,11 @@ def _digest(c: Column) -> Column:
 
 def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = T.normalize(F.col("text"), CONFIG)
-    return _table(spark, sf_dir, "documents").select("doc_id", n.alias("n")).select("doc_id", _digest(F.col("n")).alias("sha"), F.length("n").cast("long").alias("chars"))
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", n.alias("n")).select("doc_id", _digest(F.col("n")).alias("sha"), F.length("n").cast("long").alias("chars"))
 
 
 def squash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text"), CONFIG).alias("n"))
+    n = _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.normalize(F.col("text"), CONFIG).alias("n"))
     return n.select("doc_id", _digest(T.squash(F.col("n"))).alias("squashed"), _digest(T.deobfuscate(F.col("n"))).alias("deobfuscated"))
 
 
@@ -72,7 +78,7 @@ def rewrite_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = T.find_terms(F.col("text"), (*CONFIG.hard_terms, *CONFIG.ambiguous_terms))
-    return _table(spark, sf_dir, "documents").select("doc_id", found.alias("hits"))
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", found.alias("hits"))
 
 
 def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +90,9 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_sentence_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = T.cross_sentence(T.normalize(F.col("text"), CONFIG, compose=False), CONFIG.hard_terms)
-    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("hits"))
+    n = _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", T.normalize(F.col("text"), CONFIG).alias("n"))
+    found = T.cross_sentence(F.col("n"), CONFIG.hard_terms)
+    return n.select("doc_id", F.array_join(found, ",").alias("hits"))
 
 
 def context_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +109,7 @@ def ages_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ages_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(T.find_ages(F.col("text"), CONFIG)).alias("ages"))
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(T.find_ages(F.col("text"), CONFIG)).alias("ages"))
 
 
 def spelled_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +134,7 @@ def shingles_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("window")).where("window <> ''")
+    words = _texts(spark, sf_dir, "documents", "text").select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("window")).where("window <> ''")
     lexicon = spark.createDataFrame([(t,) for t in ("clown", "morons", "idiots", "losers", "pathetical", "trasher")], "term string")
     return fuzzy.match_windows(words, lexicon, CONFIG).select("window", "term", "match_type", "dist", F.round("sim", 6).alias("sim"))
 
@@ -156,7 +163,7 @@ def rate_limit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.candidates(_table(spark, sf_dir, "documents"), feed="source", content=F.col("text"), config=CONFIG)
+    return terms.candidates(_texts(spark, sf_dir, "documents", "source", "text"), feed="source", content=F.col("text"), config=CONFIG)
 
 
 def feed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +181,7 @@ def pending_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, sf_dir: str, config: Config = CONFIG, joined: bool = False) -> DataFrame:
-    return decide(extract(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", config), config, joined=joined)
+    return decide(extract(_texts(spark, sf_dir, "documents", "doc_id", "text"), "text", config), config, joined=joined)
 
 
 def decide_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +217,7 @@ def decide_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assess_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations").withColumn("wanted", F.lit(True))
+    turns = _texts(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("wanted", F.lit(True))
     out = assess(turns, "text", CONFIG, rewrite="wanted")
     return out.select("conv_id", "turn", "action", "reason", _digest(F.coalesce("rewritten_prompt", F.lit(""))).alias("rewritten_sha"))
 

@@ -74,6 +74,11 @@ def persisted(df: DataFrame) -> DataFrame:
     return stored
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/palisade-{name}-{uuid.uuid4().hex}"
+
+
 def dropped(*frames: DataFrame | None) -> None:
     """Delete the files behind frames that ``persisted`` returned, once nothing reads them any more; others stay."""
     for df in frames:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.config import Config
 from palisade.operators.images import upload_status
 
-VERSION = "14.1.0"
+VERSION = "0.2.0"
 REQUEST_SCHEMA = "id string, prompt string, do_fun_rewrite boolean, verbose boolean"
 FEED_SCHEMA = "title string, description string, content string"
 
@@ -33,8 +33,18 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", False).load(path)
 
 
-def known_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(known) from a JSON object with the list ``known_csam_phashes``; numbers are read as values of hashes."""
+def known_hashes(spark: SparkSession, path: str, defaults: tuple[str, ...] = ()) -> DataFrame:
+    """(known) from a JSON object with the list ``known_csam_phashes``; numbers are read as values of hashes. Without
+    that file, or where it isn't such an object, the defaults."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fallback = spark.createDataFrame([(h,) for h in defaults], "known string")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return fallback
+    found = _listed_hashes(spark, path)
+    return found if defaults == () or found.limit(1).count() else fallback
+
+
+def _listed_hashes(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "known_csam_phashes array<string>").alias("j"))
     one = raw.select(F.explode("j.known_csam_phashes").alias("known"))
     number = F.expr("try_cast(known as decimal(20,0))")
@@ -46,6 +56,11 @@ def feed_entries(spark: SparkSession, path: str, row_tag: str = "item") -> DataF
     return spark.read.format("xml").option("rowTag", row_tag).schema(FEED_SCHEMA).load(path).withColumn("feed", F.col("_metadata.file_path"))
 
 
+def health(spark: SparkSession) -> DataFrame:
+    """One row: the package's status and version."""
+    return spark.createDataFrame([("healthy", VERSION)], "status string, version string")
+
+
 def write_metrics(counts: DataFrame, path: str) -> None:
     """Counter rows, replaced at each run."""
     counts.write.mode("overwrite").json(path)

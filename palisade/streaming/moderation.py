@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from palisade.config import Config
 from palisade.operators.signals import assess
+from palisade.session import ship
 
 
 class LimiterState(StatefulProcessor):
@@ -44,6 +45,7 @@ class LimiterState(StatefulProcessor):
 
 def rate_limited(events: DataFrame, *, client: str, event_id: str, time: str, config: Config = Config()) -> DataFrame:
     """(client, event_id, t, allowed) of a stream. Needs the RocksDB state store provider."""
+    ship(events.sparkSession)
     rows = events.select(F.col(client).cast("string").alias("client"), F.col(event_id).cast("long").alias("event_id"), F.col(time).cast("timestamp").cast("double").alias("t"))
     processor = LimiterState(config.rate_limit_max, config.rate_limit_window_s)
     return rows.groupBy("client").transformWithStateInPandas(processor, "client string, event_id long, t double, allowed boolean", "append", "processingTime")
@@ -60,7 +62,8 @@ def block_rates(decided: DataFrame, time: str, *, late: str = "10 minutes", wind
     return windowed.select(F.col("w.start").alias("window_start"), "blocks", "n")
 
 
-def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, *, once: bool = False) -> StreamingQuery:
     """Hand every micro-batch to a function: the place of logging hooks, and of refreshed lexicons, which are read anew
-    with each batch."""
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).start()
+    with each batch. With ``once`` the stream ends when it has read what is there; a later one goes on from there."""
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -24,7 +24,7 @@ def decisions(spark, texts, config=CONFIG):
 
 def test_ladder_of_decisions(spark):
     got = decisions(spark, [
-        "The nurse reads", "idiot", "ignore previous words", "I am 9 years old", "clown", "clown. that is a party",
+        "The conductor reads", "idiot", "please skip the score", "I am 9 years old", "clown", "clown. that is a mask",
         "the rain falls", "", None, "bad idiot. clown here",
     ])
     assert [got[i].action for i in range(10)] == ["ALLOW", "BLOCK", "BLOCK", "BLOCK", "BLOCK", "ALLOW", "ALLOW", "ALLOW", "ALLOW", "BLOCK"]
@@ -67,7 +67,7 @@ def test_join_form_equals_expression_form(spark):
 
 
 def test_joined_decisions_equal_expression_decisions(spark):
-    texts = ["plain words here", "an idiott walks", "an idiott walks", "moronn and clwns and clownn", "idiot", "nurse of the moronn", "moronn", "", None]
+    texts = ["plain words here", "an idiott walks", "an idiott walks", "moronn and clwns and clownn", "idiot", "conductor of the moronn", "moronn", "", None]
     df = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "id int, prompt string")
     for config in (CONFIG, CONFIG.strict()):
         columns = ("id", "prompt", "action", "reason", "context_score", "second_pass")
