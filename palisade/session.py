@@ -42,7 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return (folder if "://" in folder else qualified(spark, folder)).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system named; one without a scheme is on the default file system, as for Spark itself."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 @contextmanager
