@@ -10,18 +10,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.session import ship
+from palisade.session import persisted, ship
 
 FACTOR = 0.8
 LEAF, SHARD_ROWS = 128, 16_384
-#: Queries of a block, which is sent to every task; so many rows of vectors are collected at once.
-QUERY_BLOCK = 16_384
+#: Queries of a block and bytes of their vectors, at most: a block is collected, sent to every task and answered before
+#: the next is fetched, so the driver never holds more.
+QUERY_BLOCK, BLOCK_BYTES = 16_384, 64 << 20
 
 
 @dataclass
@@ -103,14 +105,19 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
     """Each query's k nearest rows of one shard. Equal vectors are one point of the tree with its k + 1 least ids, of
-    which one may be the query's own."""
+    which one may be the query's own, and at most k rows of each."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
     raw = vectors.view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel()
     _, first, group = np.unique(raw, return_index=True, return_inverse=True)
     members = np.argsort(group, kind="stable")
+    opens = np.diff(group[members], prepend=-1) != 0
+    fresh = opens | (np.diff(ids[members], prepend=0) != 0)
+    number = np.cumsum(fresh) - 1  # of an id within a group, over all groups
+    again = np.arange(len(members)) - np.flatnonzero(fresh)[number]
+    members = members[(number - number[opens][np.cumsum(opens) - 1] <= k) & (again < k)]
     start = np.searchsorted(group[members], np.arange(len(first)))
-    stop = np.minimum(np.append(start[1:], len(members)), start + k + 1)
+    stop = np.append(start[1:], len(members))
     tree = VantageTree(_unit(vectors[first]))
     _, found = tree.search(_unit(queries), min(k + 1, len(first)), factor)
     q, point = np.nonzero(found >= 0)
@@ -132,25 +139,26 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 5, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 5, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``is_query`` selects, its k nearest others, nearest first.
 
     ``score`` is the cosine of the original vectors in double precision; ties go to the smaller key. Vectors that are
     null, empty, all zero, or hold null or non-finite components take no part; nor do rows with a null key. Vectors are
-    compared only with those of as many components. Rows that share the query's key are its own and are left out. With
+    compared only with those of as many components. A query row that repeats counts once. Rows that share the query's key are its own and are left out. With
     fewer than k candidates all are given; a query without any gives no row, nor does an empty table. Other columns are
-    not carried. All queries are answered, a block at a time; the index rows are never moved.
+    not carried. All queries are answered, a block at a time, each block by a scan; the index rows are never moved.
     """
     spark = ship(vectors.sparkSession)
     rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     asked = rows.where("q").select("vec_id", "v")
-    blocks = max(1, -(-asked.count() // query_block))
+    count, components = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    blocks = max(1, -(-count // query_block), -(-8 * components // block_bytes))
     parts = []
     for b in range(blocks):
         block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)) == b)
-        by_size: dict[int, list] = {}
+        by_size: dict[int, dict] = {}
         for r in block.collect():
-            by_size.setdefault(len(r.v), []).append((r.vec_id, r.v))
+            by_size.setdefault(len(r.v), {})[r.vec_id, tuple(r.v)] = None  # a repeated query counts once
         handle = spark.sparkContext.broadcast({n: (np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.float64)) for n, found in by_size.items()})
 
         def run(batches: Iterator[pa.RecordBatch], handle=handle) -> Iterator[pa.RecordBatch]:
@@ -173,9 +181,11 @@ def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector
                 if found:
                     yield flush(n)
 
-        parts.append(rows.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = rows.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        best = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks == 1:
+            return best
+        parts.append(persisted(best))  # a block is answered before the next one is fetched
+        handle.destroy()
+    return reduce(DataFrame.unionByName, parts)

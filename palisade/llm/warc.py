@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.session import shared_dir, ship
+from palisade.session import qualified, shared_dir, ship
 
 CRLF = b"\r\n"
 #: Bytes read or inflated at once.
@@ -143,6 +143,7 @@ def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url:
 
     Runs as the result is read. Empty partitions write nothing. The monolithic file is deleted once it is rewritten.
     """
+    folder = qualified(pages.sparkSession, folder)
     rows = revisits(pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html")), key="page_id", payload="html", least=least)
     rows = rows.select("page_id", "url", "html", "payload_digest", "refers_to", "record_type")
 

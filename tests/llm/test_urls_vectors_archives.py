@@ -74,6 +74,16 @@ def test_nearest_equals_brute_force_at_factor_one(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in two) == [(1, 1, 2), (2, 1, 1)]
 
 
+def test_repeats_of_a_query_hide_no_equal_vector(spark):
+    rows = [(0, [1.0, 0.0])] * 9 + [(i, [1.0, 0.0]) for i in range(1, 8)] + [(9, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1)
+    got = vector_search.nearest(df, F.col("vec_id") == 9, k=3, factor=1.0).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 0), (2, 0), (3, 0)]
+    own = df.dropDuplicates().where("vec_id < 9").unionByName(spark.createDataFrame([(0, [1.0, 0.0])] * 8, df.schema)).repartition(1)
+    got = vector_search.nearest(own, F.col("vec_id") == 0, k=3, factor=1.0, block_bytes=16).collect()
+    assert {(r.rank, r.vec_id) for r in got} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_production_recall(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     got = queries.op7_vector_search(spark, SF).collect()
