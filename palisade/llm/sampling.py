@@ -15,7 +15,8 @@ def per_class(labelled: DataFrame, label: str, key: str, most: int, max_classes:
     """About ``most`` rows of each class at most, and never over ``most * classes``, chosen by a hash of the key.
 
     Classes are counted with a mergeable aggregate; the share of a class that is kept is fixed from its count, so that
-    no group is gathered. The ``max_classes`` most frequent classes are learned.
+    no group is gathered. The ``max_classes`` most frequent classes are learned, rarer ones beyond them aren't; so at most
+    ``most * max_classes`` rows reach the driver.
     """
     counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
     if not counts:

@@ -3,7 +3,8 @@
 The model file is compiled to three machines over the tropical semiring (a path's weight is the sum of its arcs', the
 least path wins):
 
-* the normaliser, which puts a space mark before the text and for every space;
+* the normaliser: the model's character map, if it has one, as a machine that applies the longest rule at each place,
+  then single spaces, a space mark before the text and for every space;
 * the pieces with byte fallback: an arc for every piece that the text spells from a place, and for a character that no
   piece spells the arcs of its bytes;
 * for BPE models a machine over pairs of pieces, whose states are the last piece: weight zero where BPE leaves the two
@@ -73,6 +74,63 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class CharacterMap:
+    """The model's normaliser: a deterministic machine over bytes, of which the longest rule that fits is applied.
+
+    It comes as a double array, each state a number that holds the byte leading to it, where its successors stand, and
+    whether a rule ends there; replacements follow as zero-ended strings. Runs of ASCII in which no rule can begin are
+    copied whole.
+    """
+
+    def __init__(self, compiled: bytes):
+        size = int.from_bytes(compiled[:4], "little")
+        self.states = np.frombuffer(compiled, "<u4", size // 4, 4).tolist()
+        self.replacements = compiled[4 + size :]
+        ascii_rule = lambda c: (at := self._step(self._root(), c)) is not None and (self.states[at] >> 8 & 1 or any(self._step(self._below(at), d) is not None for d in range(128)))
+        free = bytes(c for c in range(32, 127) if not ascii_rule(c))
+        self.plain = re.compile(b"[" + re.escape(free) + rb"]+(?=[\x00-\x7f]|\Z)") if free else None
+
+    def _below(self, at: int) -> int:
+        state = self.states[at]
+        return at ^ (state >> 10) << ((state & 1 << 9) >> 6)
+
+    def _root(self) -> int:
+        return self._below(0)
+
+    def _step(self, base: int, byte: int) -> int | None:
+        at = base ^ byte
+        return at if at < len(self.states) and self.states[at] & 0x800000FF == byte else None
+
+    def _longest(self, raw: bytes, start: int) -> tuple[int, int]:
+        """(bytes, place of the replacement) of the longest rule that fits here; no bytes if none does."""
+        base, found = self._root(), (0, 0)
+        for n in range(start, len(raw)):
+            at = self._step(base, raw[n])
+            if at is None:
+                break
+            base = self._below(at)
+            if self.states[at] >> 8 & 1:
+                found = (n + 1 - start, self.states[base] & 0x7FFFFFFF)
+        return found
+
+    def apply(self, text: str) -> str:
+        raw, out, at = text.encode("utf-8", "replace"), [], 0
+        while at < len(raw):
+            if self.plain is not None and (run := self.plain.match(raw, at)):
+                out.append(run.group())
+                at = run.end()
+                continue
+            size, place = self._longest(raw, at)
+            if size:
+                out.append(self.replacements[place : self.replacements.index(b"\0", place)])
+            else:
+                first = raw[at]
+                size = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+                out.append(raw[at : at + size])
+            at += size
+        return b"".join(out).decode()
+
+
 class PieceTransducer:
     """The compiled model: ``encode`` and ``decode``."""
 
@@ -82,7 +140,7 @@ class PieceTransducer:
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
-        self.kind, self.dummy_prefix, self.trim = UNIGRAM, True, True
+        self.kind, self.dummy_prefix, self.trim, self.map = UNIGRAM, True, True, None
         for number, value in _fields(model):
             if number == 1:
                 part = dict(_fields(value))
@@ -93,8 +151,7 @@ class PieceTransducer:
                 self.kind = dict(_fields(value)).get(3, UNIGRAM)
             elif number == 3:
                 spec = dict(_fields(value))
-                if spec.get(2):
-                    raise ValueError("only models without a character map can be compiled")
+                self.map = CharacterMap(spec[2]) if spec.get(2) else None
                 self.dummy_prefix, self.trim = bool(spec.get(3, 1)), bool(spec.get(4, 1))
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models can be compiled")
@@ -209,6 +266,8 @@ class PieceTransducer:
         return [self.bytes_at[b] for b in reversed(character.encode("utf-8", "surrogatepass"))]
 
     def normalise(self, text: str) -> str:
+        if self.map is not None:
+            text = self.map.apply(text)
         if self.trim:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
@@ -275,7 +334,9 @@ def decode(rows: DataFrame, *, model: str | None = None, ids: str = "ids") -> Da
 def digests(docs: DataFrame, *, model: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_ids, ids_crc32, decoded_sha256, round_trip) of every text, encoded and decoded in one pass.
 
-    ``round_trip`` says whether the decoded text is the text; ids and texts stay in the workers.
+    ``round_trip`` says whether the decoded text is the text; ids and texts stay in the workers. Null and empty texts have
+    no ids and an empty decoded text. Rows that repeat stay repeated, other columns of whatever name aren't carried, and
+    an empty table gives an empty one.
     """
     ship(docs.sparkSession)
     path = model or default_model()

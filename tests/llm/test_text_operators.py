@@ -11,9 +11,11 @@ import pytest
 from llm_fixtures import prose
 from pyspark.sql import functions as F
 
-from palisade.llm import fingerprint, language_id, packing, sampling, sentence_pieces, toxicity
+from palisade.llm import fingerprint, language_id, packing, queries, sampling, sentence_pieces, toxicity
 from palisade.llm.arrow_text import blocks, buffers, words
 
+SHIPPED = "/root/testdata/sf0.01"
+
 
 def test_words_split_on_ascii_space_only():
     texts = ["a\tb\x0bc d", "", None, "x\xa0y", " z "]
@@ -267,3 +269,30 @@ def test_accented_disguises_are_toxic():
     model = toxicity.train(texts, [int(i % 3 == 0) for i in range(300)], letters_of("estúpido", *texts[:3]))
     rows = ["ba estúp1do ke", "ba e s t ú p i d o", "ba estúúúpido", "ba ke lo"]
     assert [s >= toxicity.THRESHOLD for s in model.scores(*buffers(pa.array(rows)), toxicity.Restorer(model.letters))] == [True, True, True, False]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf"])
+def test_character_maps_equal_the_library(rule):
+    library = pytest.importorskip("sentencepiece").SentencePieceNormalizer(rule_name=rule, remove_extra_whitespaces=False, add_dummy_prefix=False, escape_whitespaces=False)
+    spec = next(value for number, value in sentence_pieces._fields(library.serialized_model_proto()) if number == 3)
+    compiled = sentence_pieces.CharacterMap(dict(sentence_pieces._fields(spec))[2])
+    texts = ["", "Hello  W\u00f6rld", "\uff46\uff55ll \u2460\u2461", "A\u030angstr\u00f6m e\u0301", "\ufb01ne", "\u200bzero\xa0b\tsp\r\n x", "\uff76\uff9e", "\u00bd\u2122\u2026", "\U0001f600!"]
+    texts += ["".join(map(chr, range(a, a + 40))) for a in range(0x20, 0x3400, 211)]
+    assert [compiled.apply(t) for t in texts] == [library.Normalize(t) for t in texts]
+
+
+def _held_out_rows(spark, query, columns):
+    docs = spark.read.parquet(f"{SHIPPED}/documents.parquet").join(spark.read.parquet(f"{SHIPPED}/labels.parquet"), "doc_id", "left")
+    return query(spark, SHIPPED).where("held_out").join(docs.select("doc_id", *columns), "doc_id").collect()
+
+
+def test_languages_of_held_out_documents(spark):
+    rows = [r for r in _held_out_rows(spark, queries.op8_language_id, ["lang"]) if r.lang]
+    assert len(rows) > 150 and sum(r.lang_pred == r.lang for r in rows) >= 0.98 * len(rows)
+
+
+def test_toxicity_of_held_out_documents(spark):
+    rows = [r for r in _held_out_rows(spark, queries.op10_toxicity, ["toxic"]) if r.toxic is not None]
+    toxic, clean = ([r for r in rows if r.toxic == v] for v in (1, 0))
+    won = sum((a.score > b.score) + 0.5 * (a.score == b.score) for a in toxic for b in clean) / (len(toxic) * len(clean))
+    assert won >= 0.7 and sum(r.predicted for r in clean) <= 0.02 * len(clean) and 2 * sum(r.predicted for r in toxic) >= len(toxic)
