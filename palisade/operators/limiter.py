@@ -24,15 +24,18 @@ def rate_limit(events: DataFrame, *, client: str, time: str, most: int, window_s
     A client's accepted times that are younger than the window are kept; with ``most`` of them an event is rejected and
     leaves no trace. Events at one time go by ``tie``. A pause of at least a window forgets all that was before, so a
     client's events are first cut at its pauses and only each busy spell is folded: state is a spell's, not a client's
-    whole history. Null clients are one client; null times are rejected and leave no trace.
+    whole history. Pauses are told from the first and last event of each window-long slot, which are mergeable
+    aggregates; a spell's events meet its number in a join that can be split. Null clients are one client; null times are
+    rejected and leave no trace.
     """
     seconds = F.col(time).cast("timestamp").cast("double") if dict(events.dtypes)[time].startswith("timestamp") else F.col(time).cast("double")
-    order = [F.col("_t"), *([F.col(tie)] if tie else [])]
     base = events.withColumn("_t", seconds)
-    timed = base.where("_t is not null")
-    per_client = Window.partitionBy(client).orderBy(*order)
-    gap = F.coalesce(F.col("_t") - F.lag("_t").over(per_client) >= window_s, F.lit(True))
-    spells = timed.withColumn("_gap", gap.cast("long")).withColumn("_spell", F.sum("_gap").over(per_client.rowsBetween(Window.unboundedPreceding, 0)))
+    timed = base.where("_t is not null").withColumn("_slot", F.floor(F.col("_t") / window_s))
+    slots = timed.groupBy(F.col(client).alias("_client"), F.col("_slot").alias("_at")).agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    per_client = Window.partitionBy("_client").orderBy("_at")
+    pause = F.coalesce(F.col("_first") - F.lag("_last").over(per_client) >= window_s, F.lit(True))
+    numbered = slots.withColumn("_pause", pause.cast("long")).withColumn("_spell", F.sum("_pause").over(per_client.rowsBetween(Window.unboundedPreceding, 0)))
+    spells = timed.join(numbered.select("_client", "_at", "_spell"), F.col(client).eqNullSafe(F.col("_client")) & (F.col("_slot") == F.col("_at")))
     row = F.struct("_t", *([F.col(tie).alias("_tie")] if tie else []), F.struct(*[F.col(c) for c in events.columns]).alias("_row"))
     grouped = spells.groupBy(client, "_spell").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     state = F.struct(F.array().cast("array<double>").alias("kept"), F.array().cast("array<boolean>").alias("out"))
