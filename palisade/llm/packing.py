@@ -88,7 +88,9 @@ def pieces(docs: DataFrame, *, tokenizer: str | None = None, text: str = "text",
     """One row for each piece of each document, with all columns but the text; a document is its ids, then ``end``.
 
     ``cached_words`` bounds a worker's table of words, which outlives its tasks.
-    Only documents of over ``most`` tokens are cut: into pieces of ``most``, the first of which may be shorter.
+    Only documents of over ``most`` tokens are cut: into pieces of ``most``, the first of which may be shorter. A null or
+    empty text is one piece, of ``end`` alone. Rows that repeat stay repeated; an empty table gives an empty one; columns
+    called like an added one are replaced.
     """
     ship(docs.sparkSession)
     path = tokenizer or default_tokenizer()
@@ -173,7 +175,7 @@ def assign(cut: DataFrame, *, key: str = "doc_id", most: int = SEQUENCE_TOKENS,
     Pieces are dealt by a hash of key and number, which splits a document and every hot key evenly, and come in an order
     that their hash mixes; each partition packs its own. Numbers are the partition's, shifted, plus a count: unique, and
     the same if a task runs again. Unless asked for more, Spark joins small partitions, so that few bins end partly
-    filled.
+    filled. Pieces that repeat, null keys included, each get a place; an empty table gives an empty one.
     """
     mixed = F.xxhash64(key, "piece", "start")
     dealt = cut.repartition(mixed).sortWithinPartitions(mixed, key, "piece", "length", "ids_crc32")
