@@ -11,12 +11,18 @@ A text is its set of word shingles. Texts with equal sets are one node from the
 * Under each key, sets are compared by size and by a parity bitmap, whose differing bits never exceed the differing
   tokens: what it turns away is no link. Each set proposes its nearest, proposals are checked on the whole sets, linked
   sets are contracted, and only sets of different components are compared again. A last round proposes all that remain.
+* A key of many sets is dealt out: by salted blocks, other ones in each round, while sets propose their nearest; in the
+  last round as a grid, whose cells hold a block of the sets outside the key's largest component and a block of all, so
+  that each pair which remains meets in one cell. No group of over some BLOCK rows is held by a task.
+
+Shingles are told apart by 64 bits, whole sets by 128 and their size: among n different shingles two pass as equal with a
+probability of at most n * n / 2 ** 65 anywhere in the table, which could only add one to a pair's intersection.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +31,24 @@ from pyspark.sql import functions as F
 
 from palisade.llm.arrow_text import BYTE_VALUE_FOLDED, U, blocks, buffers, mix, prefix_hash, row_of, span_hash, words
 from palisade.llm.components import connected_components
-from palisade.session import persisted, ship
+from palisade.llm.membership import MAYBE, maybe_in
+from palisade.session import dropped, persisted, ship
 
 #: Words of a shingle and least similarity, in percent, unless a caller has its own.
 SHINGLE, PERCENT = 5, 80
 #: Tokens whose hash lies below this are ordered by document frequency.
 RANKED = U(1 << 62)
-#: Document frequencies from here on count as equal; so many rows of a token are held at most.
-MOST_FREQUENT = 1 << 15
 BITMAP_WORDS = 8
 #: Rounds in which each set proposes one partner, before the round that proposes all that remain.
 NEAREST_ROUNDS = 3
 #: Each of those rounds looks under one in so many keys: sets that are alike share many. The last looks under all.
 KEY_SHARE = 8
-#: Sets under a key that a set is compared with in those rounds, at most; the last round knows no such bound.
-REACH = 2048
+#: Sets under a key that one task compares; keys of more are dealt out.
+BLOCK = 1024
+#: Index keys that a light set makes at most: a set of whatever size needs bounded memory.
+LIGHT_KEYS = 4096
+#: Words of the bitmap of tokens that two sets hold: 16 million bits, a table of some 6 MB.
+TOKEN_WORDS = 1 << 18
 #: Slots of the filter that tells whose tokens are fetched; a fixed size, and only a filter.
 FILTER_BITS = 22
 
@@ -88,16 +97,16 @@ def _set_hash(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _summaries(docs: DataFrame, k: int) -> DataFrame:
-    """(key, node, check, n, bitmap) of every row; node and check are two hashes of the set."""
+    """(key, text_hash, node, check, n, bitmap) of every row; node and check are two hashes of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in blocks(whole, "text"):
                 sets = token_sets(*buffers(batch.column(1)), k)
                 node, check = zip(*map(_set_hash, sets), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_bitmap(s) for s in sets], pa.binary())], names=["key", "node", "check", "n", "bitmap"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_bitmap(s) for s in sets], pa.binary())], names=["key", "text_hash", "node", "check", "n", "bitmap"])
 
-    return docs.mapInArrow(run, "key long, node long, check long, n long, bitmap binary")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "key long, text_hash long, node long, check long, n long, bitmap binary")
 
 
 def _postings(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -131,11 +140,8 @@ def _postings(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "token long, node long, n long, ranked long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: int, most: int | None = None) -> Iterator[list[np.ndarray]]:
-    """Whole groups of the first column, from sorted batches, as arrays of one or more groups each.
-
-    A group of over ``most`` rows comes in parts of at least that many.
-    """
+def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
+    """Whole groups of the first column, from sorted batches, as arrays of one or more groups each."""
     held: list[np.ndarray] | None = None
     for batch in batches:
         now = [_column(batch.column(i)) for i in range(columns)]
@@ -144,8 +150,6 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: int, most: int | None =
         if not len(now[0]):
             continue
         cut = int(np.searchsorted(now[0], now[0][-1], "left"))
-        if most is not None and len(now[0]) - cut > 2 * most:
-            cut = len(now[0]) - most
         if cut:
             yield [c[:cut] for c in now]
         held = [c[cut:] for c in now]
@@ -160,35 +164,36 @@ def _column(c: pa.Array) -> np.ndarray:
     return c.to_numpy()
 
 
-def _shared_tokens(postings: DataFrame) -> DataFrame:
-    """(node, n, ranked, token, df) of tokens that at least two sets list."""
+def _shared_tokens(postings: DataFrame, counts: DataFrame) -> DataFrame:
+    """(node, token, n, ranked, df) of tokens that at least two sets list, each once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, node, n, ranked in _groups(batches, 4, MOST_FREQUENT):
-            _, group, listed = np.unique(token, return_inverse=True, return_counts=True)
-            fresh = np.ones(len(token), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            # a part of a larger group has so many rows too, so that each token has one frequency everywhere
-            count = np.where(listed >= MOST_FREQUENT, MOST_FREQUENT, np.bincount(group[fresh], minlength=len(listed)))
-            df = count[group]
-            keep = fresh & (df > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (node, n, ranked, token, df)], names=["node", "n", "ranked", "token", "df"])
+    Tokens are counted where they are; of the postings only those that the bitmap of such tokens lets pass are moved. A
+    token that a large part of all sets holds is one row of ``counts``, so that a skewed join can split its postings.
+    """
+    near = maybe_in(postings, counts.select("token"), "token", TOKEN_WORDS).where(MAYBE).drop(MAYBE)
+    # dealt anew before copies of a set are merged, so that the join needn't keep a token's postings together
+    listed = near.join(counts, "token").repartition("node", "token")
+    return listed.groupBy("node", "token").agg(*[F.first(c).alias(c) for c in ("n", "ranked", "df")])
 
-    return postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(run, "node long, n long, ranked long, token long, df long")
+
+def _token_counts(postings: DataFrame) -> DataFrame:
+    """(token, df) of tokens that two different sets list. ``df`` orders tokens, the same everywhere; copies count."""
+    counted = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("df"))
+    return counted.where("lo < hi").select("token", "df")
 
 
 def boundary(list_length: float, percent: int) -> int:
     """Largest size that is light: all pairs of its prefix cost no more than its keys with a scan of their lists.
 
-    Prefixes hold the rarest tokens, so a list's length is that at the prefix's share of all listed tokens, in order.
+    Prefixes hold the rarest tokens, so a list's length is that at the prefix's share of all listed tokens, in order. A
+    set of more than LIGHT_KEYS pairs is heavy however long the lists are.
     """
     n = 2
-    while n < 100_000:
+    while True:
         extra = n + 1 - int(need(np.int64(n + 1), percent))
-        if math.comb(extra + 2, 2) > (extra + 1) * (1 + list_length):
+        if math.comb(extra + 2, 2) > min((extra + 1) * (1 + list_length), LIGHT_KEYS):
             return n
         n += 1
-    return n
 
 
 def _keys(shared: DataFrame, light: int, percent: int) -> DataFrame:
@@ -197,7 +202,7 @@ def _keys(shared: DataFrame, light: int, percent: int) -> DataFrame:
     bridge = 100 * light // percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, size, ranked, token, df in _groups(batches, 5):
+        for node, token, size, ranked, df in _groups(batches, 5):
             first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             out, who, n_of = [], [], []
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(node)], strict=True):
@@ -231,35 +236,49 @@ def _keys(shared: DataFrame, light: int, percent: int) -> DataFrame:
     return shared.repartition("node").sortWithinPartitions("node").mapInArrow(run, "key long, node long, n long")
 
 
-def _propose(entries: DataFrame, percent: int, every: bool) -> DataFrame:
-    """(a, b, apart) from entries (key, n, node, label, bitmap): under each key, each set's nearest smaller-or-equal one
-    of another component by the bitmap, or with ``every`` all that the bitmap lets pass."""
+def _passing(x: np.ndarray, y: np.ndarray, n: np.ndarray, bitmap: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, differing bits) of those pairs of places that the bitmaps let pass."""
+    apart = np.bitwise_count(bitmap[x] ^ bitmap[y]).sum(axis=1).astype(np.int64)
+    ok = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+    return x[ok], y[ok], apart[ok]
+
+
+def _dealt(entries: DataFrame, *order: str) -> DataFrame:
+    return entries.repartition("deal").sortWithinPartitions("deal", *order)
 
-    def passing(x: np.ndarray, y: np.ndarray, n: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        apart = np.bitwise_count(bitmap[x] ^ bitmap[y]).sum(axis=1).astype(np.int64)
-        ok = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
-        return x[ok], y[ok], apart[ok]
+
+def _propose_nearest(entries: DataFrame, crowded: DataFrame, bitmaps: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b, apart) from entries (key, n, node, label) and bitmaps (node, bitmap): under each key, each set's nearest smaller-or-equal one
+    of another component by the bitmap. A crowded key's sets meet in blocks, dealt anew with each turn."""
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a proposal only has to be likely: a set looks at the REACH sets before it in order of size
-        for key, n, node, label, bitmap in _groups(batches, 5, REACH):
-            rows = len(key)
+        for deal, n, node, label, bitmap in _groups(batches, 5):
+            rows = len(deal)
             best, partner = np.full(rows, 1 << 30), np.full(rows, -1, np.int64)
             at = np.arange(rows)
-            for step in range(1, REACH + 1):
+            for step in range(1, rows):
                 at = at[at + step < rows]
                 other = at + step
-                alike = (key[at] == key[other]) & (100 * n[at] >= percent * n[other])
+                alike = (deal[at] == deal[other]) & (100 * n[at] >= percent * n[other])
                 at, other = at[alike], other[alike]
                 if not len(at):
                     break
                 test = (label[at] != label[other]) & (node[at] != node[other])
-                x, y, apart = passing(at[test], other[test], n, bitmap)
+                x, y, apart = _passing(at[test], other[test], n, bitmap, percent)
                 nearer = apart < best[y]
                 best[y[nearer]], partner[y[nearer]] = apart[nearer], x[nearer]
             if (found := np.flatnonzero(partner >= 0)).size:
                 yield _pairs(node[partner[found]], node[found], best[found])
 
+    block = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("total") / BLOCK))
+    deal = F.when(F.col("total").isNull(), F.col("key")).otherwise(F.xxhash64("key", block))
+    blocks = entries.join(crowded, "key", "left").select(deal.alias("deal"), "n", "node", "label").join(bitmaps, "node")
+    return _dealt(blocks.select("deal", "n", "node", "label", "bitmap"), "n", "node").mapInArrow(nearest, "a long, b long, apart long")
+
+
+def _propose_remaining(entries: DataFrame, crowded: DataFrame, bitmaps: DataFrame, percent: int, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b, apart): of each key all pairs of sets of different components that size and bitmap let pass."""
+
     def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # sets outside the key's largest component meet all sets of the key; those inside are linked already
         for key, n, node, label, bitmap in _groups(batches, 5):
@@ -277,12 +296,43 @@ def _propose(entries: DataFrame, percent: int, every: bool) -> DataFrame:
                 place = place[group]  # 0: the largest component
                 for i in np.flatnonzero(place > 0).tolist():
                     other = np.flatnonzero((place < place[i]) & (100 * np.minimum(n[a:b], n[a + i]) >= percent * np.maximum(n[a:b], n[a + i]))) + a
-                    x, y, apart = passing(other, np.full(len(other), a + i), n, bitmap)
+                    x, y, apart = _passing(other, np.full(len(other), a + i), n, bitmap, percent)
+                    if len(x):
+                        yield _pairs(node[x], node[y], apart)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # side 1: sets outside the largest component; side 0: all sets, ``outside`` marking the same ones
+        for deal, n, node, label, bitmap, side, outside in _groups(batches, 7):
+            starts = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1]]))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(deal)], strict=True):
+                here = np.arange(a, b)
+                every = here[side[here] == 0]
+                for i in here[side[here] == 1].tolist():
+                    alike = 100 * np.minimum(n[every], n[i]) >= percent * np.maximum(n[every], n[i])
+                    # two sets outside meet in two cells, and are taken in one of them
+                    other = every[alike & (label[every] != label[i]) & ((outside[every] == 0) | (node[every] < node[i]))]
+                    x, y, apart = _passing(other, np.full(len(other), i), n, bitmap, percent)
                     if len(x):
                         yield _pairs(node[x], node[y], apart)
 
-    ordered = entries.select("key", "n", "node", "label", "bitmap").repartition("key").sortWithinPartitions("key", "n", "node")
-    return ordered.mapInArrow(remaining if every else nearest, "a long, b long, apart long")
+    pairs = "a long, b long, apart long"
+    few = entries.join(crowded, "key", "left_anti").join(bitmaps, "node").select(F.col("key").alias("deal"), "n", "node", "label", "bitmap")
+    proposed = _dealt(few, "n", "node").mapInArrow(remaining, pairs)
+    if not crowded.limit(1).count():
+        return proposed
+    many = entries.join(crowded.select("key"), "key")
+    parts = many.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all"))
+    blocks = lambda count: F.ceil(count / F.lit(BLOCK)).cast("int")
+    grid = parts.where("all > most.c").select("key", F.col("most.label").alias("largest"), blocks(F.col("all")).alias("rows"), blocks(F.col("all") - F.col("most.c")).alias("columns"))
+    grid = step(grid)
+    many = many.join(grid, "key").withColumn("outside", (F.col("label") != F.col("largest")).cast("long"))
+    spot = lambda salt, count: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count)).cast("int")
+    through = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    every = many.withColumns({"row": spot(0, "rows"), "side": F.lit(0).cast("long")}).withColumn("column", through("columns"))
+    outer = many.where("outside = 1").withColumns({"column": spot(1, "columns"), "side": F.lit(1).cast("long")}).withColumn("row", through("rows"))
+    dealt = every.unionByName(outer).select(F.xxhash64("key", "row", "column").alias("deal"), "n", "node", "label", "side", "outside").join(bitmaps, "node")
+    dealt = dealt.select("deal", "n", "node", "label", "bitmap", "side", "outside")
+    return proposed.unionByName(_dealt(dealt).mapInArrow(cells, pairs))
 
 
 def _pairs(x: np.ndarray, y: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
@@ -342,35 +392,56 @@ def _linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id) for every row: the size of its set and the least key that links reach.
+    """(key, n_shingles, component_id, component, text_hash) for every row: the size of its set, the least key that links
+    reach, a number that is the same for linked rows and for no others (null without words), and a hash of the text, by
+    which rows that share a key are told apart.
 
     Words are what lies between x20 and x09-x0D, with A-Z lower-cased. A null or blank text has an empty set and its own
-    key as component. Rows with equal sets are linked. Rows that repeat a key each get a result; a null key stays null
-    and its row takes part as a text, so that its component is the least key among the others, or null. An empty table
-    gives an empty result; other columns are not carried.
+    key as component_id. Rows with equal sets are linked. Rows that repeat a key each get a result; a null key stays null
+    and its row takes part as a text, so that its component_id is the least key among the others, or null. An empty table
+    gives an empty result; other columns are not carried. The result is a stored table.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = persisted(_summaries(rows, shingle))
-    classes = persisted(found.where("n > 0").groupBy("node", "check", "n").agg(F.min("key").alias("least"), F.first("bitmap").alias("bitmap")))
-    labels = _join_classes(rows, classes, shingle, percent)
-    named = classes.select("node", "check", "n", "least")
-    if labels is not None:
-        grouped = classes.join(labels, "node").groupBy("label").agg(F.min("least").alias("lowest"))
-        named = named.join(labels.join(grouped, "label").select("node", "lowest"), "node", "left").withColumn("least", F.coalesce("lowest", "least"))
-    out = found.select("key", "node", "check", "n").join(named.select("node", "check", "n", "least"), ["node", "check", "n"], "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"))
-
-
-def _join_classes(rows: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame | None:
-    """(node, label) of the sets that are linked with another, or None."""
-    shared = persisted(_shared_tokens(_postings(rows, shingle, percent)))
-    scanned = shared.agg(F.percentile_approx("df", (100 - percent) / 100)).first()[0]
+    stored: list[DataFrame] = []
+
+    def step(df: DataFrame) -> DataFrame:
+        stored.append(persisted(df))
+        return stored[-1]
+
+    try:
+        found = step(_summaries(rows, shingle))
+        classes = step(found.where("n > 0").groupBy("node", "check", "n").agg(F.min("key").alias("least"), F.first("bitmap").alias("bitmap")))
+        labels = _join_classes(rows, classes, shingle, percent, step)
+        named = classes.select("node", "check", "n", "least", F.xxhash64("node", "check", "n").alias("component"))
+        if labels is not None:
+            grouped = classes.join(labels, "node").groupBy("label").agg(F.min("least").alias("lowest"))
+            named = named.join(labels.join(grouped, "label").select("node", "lowest", "label"), "node", "left").withColumns({"least": F.coalesce("lowest", "least"), "component": F.when(F.col("label").isNotNull(), F.xxhash64("label")).otherwise(F.col("component"))})
+        out = found.select("key", "text_hash", "node", "check", "n").join(named.select("node", "check", "n", "least", "component"), ["node", "check", "n"], "left")
+        return persisted(out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "key").alias("component_id"), "component", "text_hash"))
+    finally:
+        dropped(*stored)
+
+
+def _join_classes(rows: DataFrame, classes: DataFrame, shingle: int, percent: int, step: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """(node, label) of the sets that are linked with another, or None. ``step`` stores a table until the join's end."""
+    postings = _postings(rows, shingle, percent)
+    counts = persisted(_token_counts(postings))
+    shared = persisted(_shared_tokens(postings, counts))
+    dropped(counts)
+    # length of the list, copies apart, that a posting at the end of a prefix stands in; tokens of one length count at once
+    lists = shared.groupBy("token").agg(F.count("*").alias("c")).groupBy("c").agg((F.count("*") * F.col("c")).alias("postings"))
+    scanned = lists.agg(F.expr(f"percentile(c, {(100 - percent) / 100}, postings)")).first()[0]
     if scanned is None:
+        dropped(shared)
         return None
-    entries = persisted(_keys(shared, boundary(float(scanned), percent), percent))
+    entries = step(_keys(shared, boundary(float(scanned), percent), percent))
+    dropped(shared)
+    totals = step(entries.groupBy("key").agg(F.count("*").alias("total"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"))
+    crowded = totals.where(f"total > {BLOCK}").select("key", "total")
+    tokens = step(_fetch(rows, entries.join(totals.select("key"), "key", "left_semi").select("node").distinct(), shingle))
     bitmaps = classes.select("node", "bitmap").dropDuplicates(["node"])
-    tokens = links = labels = checked = None
+    links = labels = checked = None
     for turn in range(NEAREST_ROUNDS + 1):
         every = turn == NEAREST_ROUNDS
         current = entries if every else entries.where(F.pmod("key", F.lit(KEY_SHARE)) == turn)
@@ -378,24 +449,26 @@ def _join_classes(rows: DataFrame, classes: DataFrame, shingle: int, percent: in
             current = current.withColumn("label", F.col("node"))
         else:
             current = current.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            open_keys = current.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+            open_keys = step(current.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
             current = current.join(open_keys, "key", "left_semi")
-        proposed = _propose(current.join(bitmaps, "node"), percent, every)
         if every:
-            proposed = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            proposed = _propose_remaining(current, crowded, bitmaps, percent, step).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            proposed = proposed.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
+            nearest = _propose_nearest(current, crowded, bitmaps, percent, turn).groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m"))
+            proposed = nearest.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
         if checked is not None:
             proposed = proposed.join(checked, ["a", "b"], "left_anti")
-        proposed = persisted(proposed)
-        if tokens is None:
-            # every set with an entry may be asked for: fetched once
-            tokens = persisted(_fetch(rows, entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key").join(entries, "key").select("node").distinct(), shingle))
+        proposed = step(proposed)
         checked = proposed if checked is None else checked.unionByName(proposed)
-        new = persisted(_linked(proposed, tokens, percent))
+        new = step(_linked(proposed, tokens, percent))
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
-            labels = connected_components(links).withColumnRenamed("id", "node")
-        elif every and labels is None:
-            return None
+            components = connected_components(links)
+            step_labels = components.select(F.col("id").alias("node"), "label")
+            if labels is not None:
+                dropped(held)
+            held, labels = components, step_labels
+    if labels is not None:
+        labels = step(labels)
+        dropped(held)
     return labels

@@ -25,7 +25,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=85)
+    out = ngram_jaccard.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import corpus_pipeline as pipeline
 import numpy as np
+from llm_fixtures import prose
 from test_sets_and_spans import brute_components
 from test_text_operators import check_packing
 
@@ -80,6 +81,15 @@ def test_stages(spark):
             docs, before = frame, {r.doc_id: r for r in after}
 
 
+def test_different_texts_under_one_id_are_judged_each_by_itself(spark):
+    one, two, three = prose(1, 90), prose(2, 90), prose(3, 90)
+    rows = [(5, one), (5, two), (5, two), (4, two + " end"), (6, three), (6, three + " end"), (7, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, k int")
+    kept = sorted((r.doc_id, r.text) for r in pipeline.near_duplicate_stage(spark, docs, SF).collect())
+    assert len(kept) == 5 and {(5, one), (4, two + " end"), (7, ""), (8, "")} <= set(kept) and sum(i == 6 for i, _ in kept) == 1
+    assert pipeline.passage_stage(spark, docs, SF).columns == docs.columns
+
+
 def test_messy_and_empty_tables_pass_every_stage(spark, messy, no_docs):
     for name, stage in pipeline.STAGES:
         assert stage(spark, no_docs, SF).count() == 0, name
