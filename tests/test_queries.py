@@ -41,6 +41,18 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(want) and len(got)
 
 
+@pytest.mark.parametrize("name", ["decide_documents", "flagship", "metrics_counter", "metrics_reasons", "metrics_summary"])
+def test_short_documents_equal_sql(spark, tmp_path, name):
+    """Texts of one window, whose second pass turns on the letters of ASCII alone."""
+    texts = ["Laßer.", "Moßern.", "Tröß.", "Loßr.", "Clwnn.", "Lessr.", "Straß ve.", "Foll.", "Erö."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = catalog.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(catalog.oracle_sql()[name]).df()
+    rows = lambda d: sorted(tuple(map(cell, r)) for r in d[sorted(d.columns)].astype(object).itertuples(index=False))
+    assert rows(got) == rows(want)
+
+
 def test_every_query_has_sql_or_is_compared_elsewhere():
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"decide_strict"}
 
