@@ -11,7 +11,8 @@ from palisade.config import Config
 from palisade.functions import text as T
 from palisade.functions.patterns import any_of, is_word
 from palisade.operators.fuzzy import MATCH, second_pass, second_pass_table
-from palisade.session import persisted
+from palisade.operators.windows import second_pass_scan
+from palisade.session import persisted, ship
 
 _TEXT = "array<string>"
 DECISION_COLUMNS = ("allow", "action", "reason", "normalized_prompt", "rewritten_prompt", "signals")
@@ -146,13 +147,13 @@ def model_flag(verdict: Column, config: Config = Config()) -> Column:
     return F.coalesce(flagged, F.col("heuristic_flag"))
 
 
-def decide(signals: DataFrame, config: Config = Config(), *, model: Column | None = None, joined: bool = False) -> DataFrame:
+def decide(signals: DataFrame, config: Config = Config(), *, model: Column | None = None, joined: bool = False, scanned: bool = False) -> DataFrame:
     """Add allow, action, reason, severity, second_pass, nlp_flagged and context_score.
 
     Rules in order, the first that holds decides: professional context; direct violation; ambiguous context, with or
     without a valid assertion; high risk; no risk. Fields that a rule doesn't reach are null. ``model`` is a boolean
-    column that replaces the heuristic, such as ``model_flag`` of a classifier's verdict. The fuzzy pass is an expression or, with ``joined``, equality joins with the same
-    rows, for texts of many windows.
+    column that replaces the heuristic, such as ``model_flag`` of a classifier's verdict. The fuzzy pass is an expression or, for texts of many
+    windows, with the same rows, a scan by Arrow (``scanned``) or equality joins (``joined``, for large lexicons).
     """
     df = signals.withColumns({
         "_professional": professional_context(config),
@@ -166,6 +167,9 @@ def decide(signals: DataFrame, config: Config = Config(), *, model: Column | Non
         df = persisted(df.withColumn("_digest", F.when(F.col("_late"), F.sha2(F.col("_squashed").cast("binary"), 256))))
         df = df.join(second_pass_table(df.where("_late"), "_squashed", "_digest", config), "_digest", "left").drop("_digest")
         df = df.withColumn("second_pass", F.when(F.col("_late"), F.coalesce("second_pass", F.array().cast(f"array<{MATCH}>"))))
+    elif scanned:
+        ship(df.sparkSession)
+        df = df.withColumn("second_pass", second_pass_scan(F.when(F.col("_late"), F.col("_squashed")), config))
     else:
         df = df.withColumn("second_pass", F.when(F.col("_late"), second_pass(F.col("_squashed"), config)))
     df = df.withColumn("context_score", F.when(F.col("_late"), context_score(config, F.col("second_pass"))))

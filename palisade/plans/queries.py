@@ -180,8 +180,8 @@ def pending_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.unexpired(pending, NOW, config=CONFIG).select("category", "term")
 
 
-def _decisions(spark: SparkSession, sf_dir: str, config: Config = CONFIG, joined: bool = False) -> DataFrame:
-    return decide(extract(_texts(spark, sf_dir, "documents", "doc_id", "text"), "text", config), config, joined=joined)
+def _decisions(spark: SparkSession, sf_dir: str, config: Config = CONFIG, scanned: bool = False) -> DataFrame:
+    return decide(extract(_texts(spark, sf_dir, "documents", "doc_id", "text"), "text", config), config, scanned=scanned)
 
 
 def decide_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,8 +210,8 @@ def metrics_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decide_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the strict mode changes decisions. With spaces kept every word of a text is a window of it, so the strict side's
-    fuzzy pass is joined."""
-    strict = _decisions(spark, sf_dir, CONFIG.strict(), joined=True).select("doc_id", F.col("action").alias("strict_action"))
+    fuzzy pass is a scan."""
+    strict = _decisions(spark, sf_dir, CONFIG.strict(), scanned=True).select("doc_id", F.col("action").alias("strict_action"))
     plain = _decisions(spark, sf_dir).select("doc_id", "action")
     return plain.join(strict, "doc_id").groupBy("action", "strict_action").agg(F.count("*").alias("n"))
 

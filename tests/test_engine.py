@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from palisade.config import Config
 from palisade.functions import text as T
-from palisade.operators import audit, fuzzy, images, limiter, metrics, terms
+from palisade.operators import audit, fuzzy, images, limiter, metrics, terms, windows
 from palisade.operators.signals import as_json, assess, decide, extract
+from palisade.operators.windows import second_pass_scan
 from palisade.plans import queries
 from palisade.sources import readers
 
@@ -75,6 +76,28 @@ def test_joined_decisions_equal_expression_decisions(spark):
         assert got == want and any("High risk" in r for r in got)
 
 
+def test_scanned_matches_equal_the_expression(spark):
+    """Repeated n-grams, edges of blanks, letters beyond ASCII, windows shorter than an n-gram, tokens too long for any."""
+    rng = random.Random(5)
+    parts = ["clown", "clwn", "moronn", "idiotic", "worthles", "a", "ab", "laßer", "ſcum", "aaaa", "losersloser", "trash", "trashtrash", ".", "日本", "x" * 40, "fo", "ol", "dolt!", "foul"]
+    texts = [rng.choice(("", " ", "- ")) + rng.choice((" ", "\u3000 ")).join(rng.choice(parts) for _ in range(rng.randrange(7))) + rng.choice(("", " ")) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None])], "id int, t string")
+    for config in (CONFIG, Config(jaccard_percent=50, hamming_threshold=12), Config(ngram=2, window_tokens=2)):
+        got, want = df.select("id", second_pass_scan(F.col("t"), config).alias("m")).collect(), df.select("id", fuzzy.second_pass(F.col("t"), config).alias("m")).collect()
+        assert {r.id: r.m for r in got if r.id <= len(texts)} == {r.id: r.m for r in want if r.id <= len(texts)} and sum(len(r.m) for r in want if r.m) > 40
+        assert [r.m for r in got if r.id > len(texts)] == [None]
+
+
+def test_long_texts_are_scanned_in_parts(monkeypatch):
+    monkeypatch.setattr(windows, "BLOCK_CHARS", 200)
+    words = [random.Random(i).choice(("clwn", "moronn", "lo ser", "plain", "y" * 50, "an")) for i in range(400)]
+    scan = windows.Scan(CONFIG)
+    parts = windows._pieces(" ".join(words), CONFIG)
+    assert len(parts) > 50 and max(map(len, parts)) < 600
+    found = {m["window"]: m for p in scan.matches(parts) for m in p}
+    assert [found[w] for w in sorted(found)] == scan.matches([" ".join(words)])[0] and len(found) == 2
+
+
 def test_strict_query_counts_fuzzy_blocks(spark, tmp_path):
     texts = ["plain words here", "an idiott walks", "an idiott walks", "moronn", "idiot"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
