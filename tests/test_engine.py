@@ -4,6 +4,7 @@ import zlib
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from palisade.operators import audit, fuzzy, images, limiter, metrics, terms, wi
 from palisade.operators.signals import as_json, assess, decide, extract
 from palisade.operators.windows import second_pass_scan
 from palisade.plans import queries
+from palisade.session import ARROW_BYTES, ship
 from palisade.sources import readers
 
 CONFIG = Config()
@@ -110,6 +112,13 @@ def test_strict_query_counts_fuzzy_blocks(spark, tmp_path):
     assert strict[1].action == plain[3].action == "BLOCK"
 
 
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    ship(spark)
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.col("id").cast("string"), 2000).alias("t"))
+    sizes = [r.n for r in texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()]
+    assert sum(sizes) > 2 * ARROW_BYTES and max(sizes) < 2 * ARROW_BYTES
+
+
 def test_hamming_join_loses_no_pair(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(63) for _ in range(30)]
