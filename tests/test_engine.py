@@ -2,19 +2,21 @@ import random
 import struct
 import zlib
 from datetime import datetime, timedelta
+from unittest.mock import Mock
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from palisade import session
 from palisade.config import Config
 from palisade.functions import text as T
 from palisade.operators import audit, fuzzy, images, limiter, metrics, terms, windows
 from palisade.operators.signals import as_json, assess, decide, extract
 from palisade.operators.windows import second_pass_scan
 from palisade.plans import queries
-from palisade.session import ARROW_BYTES, ship
+from palisade.session import ARROW_BYTES, persisted, ship
 from palisade.sources import readers
 
 CONFIG = Config()
@@ -240,3 +242,14 @@ def test_scans_are_pruned(spark):
 def test_client_key(spark, trust):
     df = spark.createDataFrame([("h", " 1.1.1.1 , 2.2.2.2"), ("h", None)], "host string, f string")
     assert [r[0] for r in df.select(limiter.client_key(F.col("host"), F.col("f"), trust)).collect()] == (["1.1.1.1", "h"] if trust else ["h", "h"])
+
+
+@pytest.mark.parametrize(("taken", "collections"), [(751, 1), (750, 0)])
+def test_stored_steps_release_the_drivers_heap(spark, monkeypatch, taken, collections):
+    """A step that leaves more than half of the heap taken is followed by a collection."""
+    runtime = Mock(**{"totalMemory.return_value": taken, "maxMemory.return_value": 1500})
+    release, jvm = session.heap_released, Mock()
+    jvm._jvm.java.lang.Runtime.getRuntime.return_value = runtime
+    monkeypatch.setattr(session, "heap_released", lambda _: release(jvm))
+    assert persisted(spark.range(3)).count() == 3
+    assert runtime.gc.call_count == collections
