@@ -85,7 +85,8 @@ def _level(x: str) -> str:
 
 def _decisions(source: str, key: str, column: str) -> str:
     """CTEs ending in ``decided``. Spelled ages and typos don't occur in the shipped tables and are left out; of the
-    fuzzy pass the phonetic test is stated, which is the only one that short texts of the tables can meet."""
+    fuzzy pass the phonetic test of single tokens is stated, which is less than the pass: a short text around a listed
+    term ('The pathetic.') can meet the SimHash test alone, and then the query blocks what this SQL allows."""
     lexicon = [t for t in _CONFIG.lexicon if t not in _CONFIG.adult_assertions]
     values = ", ".join(f"({_quote(t)})" for t in lexicon)
     return _normal(source, key, column) + rf""",
