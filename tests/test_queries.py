@@ -72,7 +72,7 @@ fuzzy AS (SELECT doc_id, count(DISTINCT w) AS k FROM windows JOIN met USING (w)
     return out
 
 
-@pytest.mark.parametrize("name", ["decide_documents", "flagship", "metrics_counter"])
+@pytest.mark.parametrize("name", ["decide_documents", "flagship", "metrics_counter", "metrics_reasons"])
 def test_short_documents_with_terms_equal_completed_sql(spark, tmp_path, name):
     """Texts whose windows pass the SimHash test, one of the shipped tables' word pairs among them, or have two tokens."""
     texts = ["The pathetic.", "Que stupid.", "Ungge pathetic.", "Disgusting$$$ ouai.$$$", "Moron th moron.", "Ssm | |", "Clwnn.", "Loser.", "Er an the."]
