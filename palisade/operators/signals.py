@@ -22,6 +22,10 @@ def _array(*terms: str) -> Column:
     return F.array(*map(F.lit, terms)).cast(_TEXT)
 
 
+def _union(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_union(a, b))
+
+
 def extract(df: DataFrame, text: str, config: Config = Config(), *, compose: bool = True) -> DataFrame:
     """Add the signals of column ``text`` as columns of their own, named in ``SIGNAL_COLUMNS``.
 
@@ -30,45 +34,83 @@ def extract(df: DataFrame, text: str, config: Config = Config(), *, compose: boo
     ``heuristic_flag`` stands in for a classifier: a hard and an ambiguous term in the normalised text. Byte searches come
     before patterns, and what most texts don't need is computed for the others only.
     """
+    return _by_mode(_whatever_mode(df, text, config, compose), config).drop(*_SHARED)
+
+
+#: Columns of ``_whatever_mode`` that ``_by_mode`` alone reads.
+_SHARED = ("_digits", "_found", "_deob_hits", "_normal_hits", "_asserted")
+
+
+def _one_scan(config: Config) -> bool:
+    """Whole words never overlap, so both lists can be looked for at once."""
+    return all(is_word(t) for t in (*config.hard_terms, *config.ambiguous_terms))
+
+
+def _whatever_mode(df: DataFrame, text: str, config: Config, compose: bool = True) -> DataFrame:
+    """The forms of a text, and the signals that read the raw or the normalised one: what both modes have in common."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_normal", T.normalize(raw, config, compose=compose))
+    # both forms in one projection: Spark merges all projections between two that call the composer, and would so repeat
+    # the normalised text's expression wherever its column is named
+    forms = {"_normal": T.normalize(raw, config, compose=compose)}
+    if config.digits_before_leet:
+        forms["_digits"] = T.normalize(raw, config, leet=False, compose=compose)
+    df = df.withColumns(forms)
     fixed = F.when(T.may_hold_typo(F.col("_normal"), config), T.fix_typos(F.col("_normal"), config)).otherwise(F.col("_normal"))
     df = df.withColumns({"_deob": T.deobfuscate(F.col("_normal")), "normalized": fixed})
     normal = F.col("normalized")
-    df = df.withColumn("_squashed", normal if config.keep_spaces else T.squash(normal))
-    squashed = F.col("_squashed")
-    digits = T.normalize(raw, config, leet=False, compose=compose) if config.digits_before_leet else None
-    union = lambda a, b: F.array_sort(F.array_union(a, b))
-    hard, ambiguous, listed = config.hard_terms, config.ambiguous_terms, (*config.hard_terms, *config.ambiguous_terms)
-    one_scan = all(is_word(t) for t in listed)  # whole words never overlap, so both lists can be looked for at once
-    if one_scan:
-        df = df.withColumns({"_hits": union(T.find_terms(squashed, listed, True), T.find_terms(F.col("_deob"), listed, True)), "_normal_hits": T.find_terms(normal, listed, True)})
-        terms = lambda some: T.of_terms(F.col("_hits"), some)
+    hard, ambiguous = config.hard_terms, config.ambiguous_terms
+    if _one_scan(config):
+        listed = (*hard, *ambiguous)
+        df = df.withColumns({"_deob_hits": T.find_terms(F.col("_deob"), listed, True), "_normal_hits": T.find_terms(normal, listed, True)})
         flagged = (F.size(T.of_terms(F.col("_normal_hits"), hard)) > 0) & (F.size(T.of_terms(F.col("_normal_hits"), ambiguous)) > 0)
         # a whole word found in a pair of sentences stands in one of them, and so in the text
         crossed = F.when(F.size("_normal_hits") > 0, T.cross_sentence(normal, hard)).otherwise(_array())
     else:
-        terms = lambda some: union(T.find_terms(squashed, some), T.find_terms(F.col("_deob"), some))
         flagged = (F.size(T.find_terms(normal, hard)) > 0) & (F.size(T.find_terms(normal, ambiguous)) > 0)
         crossed = T.cross_sentence(normal, hard)
-    adults = T.find_terms(normal, config.adult_assertions, True)
-    school = T.matches(squashed, any_of(config.school_patterns))
-    if digits is not None:
-        df = df.withColumn("_digits", digits)
-        adults, school = union(adults, T.find_terms(F.col("_digits"), config.adult_assertions)), union(school, T.matches(F.col("_digits"), any_of(config.school_patterns)))
-    out = df.withColumns({
+    return df.withColumns({
+        "_asserted": T.find_terms(normal, config.adult_assertions, True),
         "ages": T.find_ages(raw, config),
+        "injections": _union(T.find_terms(normal, config.injections, True), T.matches(normal, any_of(config.injection_patterns))) if config.injection_patterns else T.find_terms(normal, config.injections, True),
+        "cross_sentence": crossed,
+        "allowlisted": T.search(raw, config.allowlist_patterns),
+        "heuristic_flag": flagged,
+    })
+
+
+def _by_mode(df: DataFrame, config: Config) -> DataFrame:
+    """The signals that differ with spaces kept, or digits read before leetspeak."""
+    normal, squashed = F.col("normalized"), F.col("_squashed")
+    df = df.withColumn("_squashed", normal if config.keep_spaces else T.squash(normal))
+    hard, ambiguous = config.hard_terms, config.ambiguous_terms
+    if _one_scan(config):
+        # with spaces kept the squashed text is the normalised one
+        hits = F.col("_normal_hits") if config.keep_spaces else T.find_terms(squashed, (*hard, *ambiguous), True)
+        df = df.withColumn("_found", _union(hits, F.col("_deob_hits")))
+        terms = lambda some: T.of_terms(F.col("_found"), some)
+    else:
+        terms = lambda some: _union(T.find_terms(squashed, some), T.find_terms(F.col("_deob"), some))
+    adults, school = F.col("_asserted"), T.matches(squashed, any_of(config.school_patterns))
+    if config.digits_before_leet:
+        adults, school = _union(adults, T.find_terms(F.col("_digits"), config.adult_assertions)), _union(school, T.matches(F.col("_digits"), any_of(config.school_patterns)))
+    return df.withColumns({
         "hard_terms": terms(hard),
         "ambiguous_terms": terms(ambiguous),
         "adult_assertions": adults,
-        "injections": union(T.find_terms(normal, config.injections, True), T.matches(normal, any_of(config.injection_patterns))) if config.injection_patterns else T.find_terms(normal, config.injections, True),
         "school_context": school,
-        "cross_sentence": crossed,
         "cluster_score": F.when(T.may_hold(squashed, tuple(sorted({w for c in config.clusters for w in c})), True), T.cluster_score(F.split(squashed, "[\\t-\\r\\x1c-\\x20\\x85\\xa0]+"), config)).otherwise(0) if config.clusters else F.lit(0),
-        "allowlisted": T.search(raw, config.allowlist_patterns),
-        "heuristic_flag": flagged,
     })
-    return out.drop("_hits", "_normal_hits", "_digits")
+
+
+def actions(df: DataFrame, text: str, config: Config = Config(), *, compose: bool = True) -> DataFrame:
+    """Add ``action`` and ``strict_action``: how a text is decided in the compatible and in the strict mode. It is read and
+    brought into its forms once for both. With spaces kept every word of a text is a window of it, so the strict side's
+    fuzzy pass is a scan."""
+    columns, strict = df.columns, config.strict()
+    df = _whatever_mode(df, text, strict, compose)
+    shared = [c for c in df.columns if c not in columns]
+    df = decide(_by_mode(df, strict), strict, scanned=True).select(*columns, *shared, F.col("action").alias("strict_action"))
+    return decide(_by_mode(df, config), config).select(*columns, "action", "strict_action")
 
 
 SIGNAL_COLUMNS = ("normalized", "ages", "hard_terms", "ambiguous_terms", "adult_assertions", "injections", "school_context", "cross_sentence", "cluster_score", "allowlisted")

@@ -51,6 +51,11 @@ def gram_set(text: str, n: int) -> frozenset[str]:
     return frozenset(padded[i : i + n] for i in range(max(1, len(padded) - n + 1)))
 
 
+def _numbered(values: np.ndarray) -> np.ndarray:
+    """Equal values get equal numbers, from 0 without gaps; by hashing, which is cheaper than sorting."""
+    return pa.array(values).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 class Scan:
     """A lexicon's tables, and the search of texts for windows that match it."""
 
@@ -91,11 +96,13 @@ class Scan:
         """(a number for each run of ``length`` characters, the runs by number)."""
         name = np.zeros(len(at), np.int64)
         for j in range(length):
-            if j > 1:
-                name = np.unique(name, return_inverse=True)[1]
+            if j > 2:  # three code points fit a number
+                name = _numbered(name)
             name = name << 21 | chars[at + j]
-        _, first, inverse = np.unique(name, return_index=True, return_inverse=True)
-        return inverse, [text[i : i + length] for i in at[first].tolist()]
+        name = _numbered(name)
+        first = np.empty(int(name.max(initial=-1)) + 1, np.int64)
+        first[name[::-1]] = at[::-1]
+        return name, [text[i : i + length] for i in first.tolist()]
 
     def _sims(self, chars: np.ndarray, text: str, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(SimHash of each window, numbers of the text's n-grams, whether such a number is one of the lexicon's)."""
@@ -111,12 +118,15 @@ class Scan:
             return sims, np.zeros(0, np.int64), np.zeros(0, bool)
         name, runs = self._named(chars, text, np.arange(len(chars) - n + 1), n)
         hashed = np.array([self.seen[g] for g in runs], np.uint64).view(np.uint8).reshape(-1, 8)
-        kind = np.uint8 if self.config.window_chars < 256 else np.int64  # a window's counts fit, whatever the sums do
-        sums = np.zeros((len(name) + 1, 64), kind)
-        np.cumsum(np.unpackbits(hashed, axis=1, bitorder="little")[name], axis=0, dtype=kind, out=sums[1:])
+        votes = np.unpackbits(hashed, axis=1, bitorder="little")
+        # counts of a byte are added eight at once: a window's fit, so that none carries into the next, whatever the sums do
+        kind, lanes = (np.uint8, np.uint64) if self.config.window_chars < 256 else (np.int64, np.int64)
+        votes = votes.astype(kind, copy=False).view(lanes)
+        sums = np.zeros((len(name) + 1, votes.shape[1]), lanes)
+        np.cumsum(votes[name], axis=0, dtype=lanes, out=sums[1:])
         for i in range(0, len(long), 1 << 15):
             x, y = a[long[i : i + (1 << 15)]], b[long[i : i + (1 << 15)]] - n + 1
-            won = np.packbits(sums[y] - sums[x] > ((y - x) // 2).astype(kind)[:, None], axis=1, bitorder="little")
+            won = np.packbits((sums[y] - sums[x]).view(kind) > ((y - x) // 2).astype(kind)[:, None], axis=1, bitorder="little")
             sims[long[i : i + (1 << 15)]] = won.view(np.uint64).ravel().byteswap().view(np.int64)
         return sims, name, np.array([g in self.members for g in runs])
 

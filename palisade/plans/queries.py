@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palisade.config import Config
 from palisade.functions import text as T
 from palisade.operators import audit, fuzzy, images, limiter, metrics, terms
-from palisade.operators.signals import assess, decide, extract
+from palisade.operators.signals import actions, assess, decide, extract
 from palisade.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,8 +180,8 @@ def pending_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.unexpired(pending, NOW, config=CONFIG).select("category", "term")
 
 
-def _decisions(spark: SparkSession, sf_dir: str, config: Config = CONFIG, scanned: bool = False) -> DataFrame:
-    return decide(extract(_texts(spark, sf_dir, "documents", "doc_id", "text"), "text", config), config, scanned=scanned)
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide(extract(_texts(spark, sf_dir, "documents", "doc_id", "text"), "text", CONFIG), CONFIG)
 
 
 def decide_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,11 +209,9 @@ def metrics_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decide_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the strict mode changes decisions. With spaces kept every word of a text is a window of it, so the strict side's
-    fuzzy pass is a scan."""
-    strict = _decisions(spark, sf_dir, CONFIG.strict(), scanned=True).select("doc_id", F.col("action").alias("strict_action"))
-    plain = _decisions(spark, sf_dir).select("doc_id", "action")
-    return plain.join(strict, "doc_id").groupBy("action", "strict_action").agg(F.count("*").alias("n"))
+    """How the strict mode changes decisions, each row of the table counted once."""
+    both = actions(_texts(spark, sf_dir, "documents", "text"), "text", CONFIG)
+    return both.groupBy("action", "strict_action").agg(F.count("*").alias("n"))
 
 
 def assess_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

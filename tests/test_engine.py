@@ -13,7 +13,7 @@ from palisade import session
 from palisade.config import Config
 from palisade.functions import text as T
 from palisade.operators import audit, fuzzy, images, limiter, metrics, terms, windows
-from palisade.operators.signals import as_json, assess, decide, extract
+from palisade.operators.signals import actions, as_json, assess, decide, extract
 from palisade.operators.windows import second_pass_scan
 from palisade.plans import queries
 from palisade.session import ARROW_BYTES, persisted, ship
@@ -114,6 +114,42 @@ def test_strict_query_counts_fuzzy_blocks(spark, tmp_path):
     assert strict[1].action == plain[3].action == "BLOCK"
 
 
+def test_strict_query_counts_each_row_once(spark, tmp_path):
+    rows = [(1, "idiot"), (1, "plain words"), (None, "moronn"), (None, None), (2, "an idiott walks"), (3, "I am in the 4th grade")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sum(r.n for r in queries.decide_strict(spark, str(tmp_path)).collect()) == len(rows)
+
+
+def test_actions_equal_the_decisions_of_each_mode(spark):
+    texts = ["you silly idiot person", "an idiott walks", "moronn", "age 7", "I am in the 4th grade", "4th grade conductor", "cl0wn. that is a mask", "nasty rehearsal manager",
+             "clown moron", "trash, scum and stupid", "i d i o t", "1d10t", "clwn of age", "ⓘdiot", "bad idiot. clown here", "tr-ash", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, prompt string")
+    for config in (CONFIG, Config(hard_terms=("idiot", "scum of"), ambiguous_terms=("clown", "mo ron"))):
+        plain, strict = decisions(spark, texts, config), decisions(spark, texts, config.strict())
+        want = {i: (r.action, strict[i].action) for i, r in plain.items()}
+        assert {r.id: (r.action, r.strict_action) for r in actions(df, "prompt", config).collect()} == want and len(set(want.values())) >= 3
+
+
+def test_strict_forms_are_computed_once(spark):
+    """The normalised text's expression isn't repeated where its column is named; it was, over 400 times."""
+    df = spark.createDataFrame([(1, "a")], "id int, t string")
+    for out in (extract(df, "t", CONFIG.strict()), actions(df, "t", CONFIG)):
+        assert 0 < out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") < 40
+
+
+def test_window_hashes_equal_those_of_the_windows():
+    """Counts of many votes are added at once, in bytes or, for long windows, in whole numbers."""
+    text = "aaaa " * 40 + "clown moron 日本 😀 " + "".join(random.Random(3).choice("ab c") for _ in range(300)).strip()
+    chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    for config, most in ((CONFIG, 32), (Config(window_chars=280), 280), (Config(ngram=4), 32)):
+        a = np.arange(0, len(text) - most)
+        b = a + np.array([random.Random(int(i)).randrange(most + 1) for i in a])
+        sims, name, _ = windows.Scan(config)._sims(chars, text, a, b)
+        assert sims.tolist() == fuzzy.simhashes([text[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], config.ngram, fuzzy._GramHashes()).tolist()
+        runs = [text[i : i + config.ngram] for i in range(len(name))]
+        assert len(set(zip(runs, name.tolist(), strict=True))) == len(set(runs)) == len(set(name.tolist()))
+
+
 def test_arrow_batches_are_bounded_by_bytes(spark):
     ship(spark)
     texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.col("id").cast("string"), 2000).alias("t"))
