@@ -115,7 +115,7 @@ def test_strict_query_counts_fuzzy_blocks(spark, tmp_path):
 
 
 def test_strict_query_counts_each_row_once(spark, tmp_path):
-    rows = [(1, "idiot"), (1, "plain words"), (None, "moronn"), (None, None), (2, "an idiott walks"), (3, "I am in the 4th grade")]
+    rows = [(1, "idiot"), (1, "plain words"), (1, "scum"), (None, "moronn"), (None, None), (2, "an idiott walks"), (3, "I am in the 4th grade")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sum(r.n for r in queries.decide_strict(spark, str(tmp_path)).collect()) == len(rows)
 
